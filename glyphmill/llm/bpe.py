@@ -32,7 +32,7 @@ from glyphmill.llm.common import free_name, map_rows
 #: Symbols (byte-level characters) from which a piece counts as long, symbols in a leaf, tokens in the first window.
 LONG, LEAF, WINDOW = 512, 256, 4
 #: Entries of a piece cache; a full cache is emptied, so memory stays bounded.
-CACHE = 1_000_000
+CACHE = 400_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -127,6 +127,7 @@ class PieceCoder:
         self.tok.encode_special_tokens = not special
         self.pre, self.norm = self.tok.pre_tokenizer, self.tok.normalizer
         self.tree = TreeEncoder(spec)
+        self.model = self.tree.last.model
         self.size, self.long = cache, long
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]} if special else {}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -138,7 +139,7 @@ class PieceCoder:
         self.id_type = np.dtype("<u4")
 
     def _piece_ids(self, piece: str) -> list[int]:
-        return self.tree.encode(piece) if len(piece) > self.long else self.tree.last.encode(piece, add_special_tokens=False).ids
+        return self.tree.encode(piece) if len(piece) > self.long else [t.id for t in self.model.tokenize(piece)]
 
     def _part_ids(self, part: str) -> list[int]:
         """Ids of text without special tokens, by the library's own normaliser and splitter."""
