@@ -109,3 +109,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_or_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def let(value, body):
+    """``body`` of a value that is computed once: a lambda variable stands for it.
+
+    A plain reference would not do: the optimiser may put the value's expression in its place, inside other lambdas
+    too, where it would be computed anew for each element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, decontaminate, langid, minhash, quality, separators, sstable, substring
+from glyphmill.llm import bpe, decontaminate, langid, licenses, minhash, pii, quality, separators, sstable, substring
 from glyphmill.llm.common import documents, free_name
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -40,6 +40,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(documents(spark, sf_dir), n_words=3, percent=85)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.matches(documents(spark, sf_dir))
+
+
 def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.shard_digests(documents(spark, sf_dir), bpe.tokenizer_path(BYTE_BPE), end_id=0)
 
@@ -52,6 +56,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removals(documents(spark, sf_dir))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -59,9 +67,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_language_id": op4_language_id,
         "op5_minhash": op5_minhash,
+        "op6_license_scan": op6_license_scan,
         "op7_sstable": op7_sstable,
         "op8_bpe": op8_bpe,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_pii": op10_pii,
     }
 
 
