@@ -12,9 +12,9 @@ the Jaccard similarity with Chernoff-style bounds at about n + SIZE log SIZE has
 3. Every class is paired with one leader of each of its buckets only: the class with most crowded buckets, which is
    where near copies of one text have their common origin. These star pairs are verified on the full sets.
 4. Components of the verified pairs. Links may still join classes that met the same leader but are in different
-   components: these are compared by their sketches, in blocks of ``BLOCK`` x ``BLOCK`` inside NumPy, and the few
-   whose estimate is within six deviations of the threshold are verified on the full sets as well. So no link between
-   two texts depends on the leader, and no task ever holds more than two blocks.
+   components: these are compared inside NumPy, in pairs of blocks of about ``BLOCK_SHINGLES`` shingles, by their sketches
+   (six deviations below the threshold and more), then on the full sets. So no link between two texts depends on the
+   leader, and no task ever holds more than two blocks.
 5. Components of all links; each component is named by the least doc_id in it.
 
 Shingles are compared as 64-bit fingerprints. Documents without words are linked with nothing, not even with each
@@ -37,8 +37,8 @@ from glyphmill.llm.components import components
 from glyphmill.llm.words import mix, window_hashes, word_hashes
 
 SIZE, BANDS, ROWS = 240, 40, 6
-#: Members of one block of the block-wise comparison.
-BLOCK = 512
+#: Shingles of the members of one block of the block-wise comparison, about.
+BLOCK_SHINGLES = 200_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _32 = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -139,33 +139,46 @@ def _alike(percent: int):
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs that met a leader and are in different components, near the threshold by their sketches.
+    """Links (u, v) between members of one leader that are in different components, on the full sets.
 
-    members: (leader, sig, n, sketch, comp). Only members outside the leader's component have to be compared, with
-    all members: blocks of the former times blocks of the latter.
+    members: (leader, sig, n, sketch, hashes, comp). Only members outside the leader's component have to be compared,
+    with all members: blocks of the former times blocks of the latter. A block tests pairs by their sketches, then by
+    their sets, and reports a link for each pair of a member and a component at most.
     """
     own = members.where("sig = leader").select("leader", F.col("comp").alias("home"))
     m = members.join(own, "leader")
-    sizes = m.groupBy("leader").agg(F.count("*").alias("all"), F.sum((F.col("comp") != F.col("home")).cast("bigint")).alias("out")).where("out > 0")
+    away = F.when(F.col("comp") != F.col("home"), F.col("n"))
+    sizes = m.groupBy("leader").agg(F.sum("n").alias("all"), F.sum(away).alias("out")).where("out > 0")
     m = m.join(sizes, "leader")
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("bigint")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK_SHINGLES).cast("bigint")
     place = lambda c: F.pmod(F.xxhash64("sig"), blocks(c))
-    left = m.where("comp <> home").select("leader", place("out").alias("i"), F.explode(F.sequence(F.lit(0), blocks("all") - 1)).alias("j"), F.lit(True).alias("asks"), "sig", "n", "sketch", "comp")
-    right = m.select("leader", F.explode(F.sequence(F.lit(0), blocks("out") - 1)).alias("i"), place("all").alias("j"), F.lit(False).alias("asks"), "sig", "n", "sketch", "comp")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(c) - 1))
+    rest = ("sig", "n", "sketch", "hashes", "comp")
+    left = m.where("comp <> home").select("leader", place("out").alias("i"), all_of("all").alias("j"), F.lit(True).alias("asks"), *rest)
+    right = m.select("leader", all_of("out").alias("i"), place("all").alias("j"), F.lit(False).alias("asks"), *rest)
     least = percent / 100 - 6 * np.sqrt(percent / 100 * (1 - percent / 100) / SIZE)
 
     def compare(group: pa.Table) -> pa.Table:
         asks = np.array(group.column("asks").to_pylist(), bool)
-        sig, n = np.array(group.column("sig").to_pylist(), object), np.array(group.column("n").to_pylist(), np.int64)
-        comp = np.array(group.column("comp").to_pylist(), object)
+        sig, n = group.column("sig").to_pylist(), np.array(group.column("n").to_pylist(), np.int64)
+        names = {c: k for k, c in enumerate(dict.fromkeys(group.column("comp").to_pylist()))}
+        comp = np.array([names[c] for c in group.column("comp").to_pylist()], np.int64)
         k = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u2").reshape(len(sig), SIZE)
-        rk, rs, rn, rc = k[~asks], sig[~asks], n[~asks], comp[~asks]
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
+        told = np.flatnonzero(~asks)
         us, vs = [], []
         for x in np.flatnonzero(asks):
-            ok = ((rk == k[x]).mean(1) >= least) & (rc != comp[x]) & (100 * np.minimum(rn, n[x]) >= percent * np.maximum(rn, n[x]))
-            for y in rs[ok]:
-                us.append(max(sig[x], y))
-                vs.append(min(sig[x], y))
+            near = (comp[told] != comp[x]) & (100 * np.minimum(n[told], n[x]) >= percent * np.maximum(n[told], n[x]))
+            near[near] = (k[told[near]] == k[x]).mean(1) >= least
+            linked = set()
+            for y in told[near].tolist():
+                if comp[y] in linked:
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                    linked.add(comp[y])
+                    us.append(max(sig[x], sig[y]))
+                    vs.append(min(sig[x], sig[y]))
         return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
 
     return left.unionByName(right).groupBy("leader", "i", "j").applyInArrow(compare, "u binary, v binary").distinct()
@@ -193,13 +206,10 @@ def classes(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str =
     named = members.join(comp.withColumnRenamed("vertex", "sig"), "sig", "left").select("leader", "sig", F.coalesce("root", "sig").alias("comp"))
     # Leaders all of whose members are in one component need no second look.
     split = named.groupBy("leader").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("leader")
-    more = _across(named.join(split, "leader", "left_semi").join(sets.select("sig", "n", "sketch"), "sig").select("leader", "sig", "n", "sketch", "comp"), percent)
-    extra = materialise(_verify(more, full, percent), "more-links")
+    again = named.join(split, "leader", "left_semi").join(sets.select("sig", "n", "sketch"), "sig").join(full, "sig")
+    extra = materialise(_across(again, percent), "more-links")
     if not extra.isEmpty():
-        roots = comp.select(F.col("vertex"), F.col("root"))
-        joined = extra.join(roots.select(F.col("vertex").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("vertex").alias("v"), F.col("root").alias("rv")), "v", "left")
-        again = components(links.unionByName(joined.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))).unionByName(extra))
-        comp = again
+        comp = components(links.unionByName(extra))
     labels = sets.select("sig", "doc_id").join(comp.withColumnRenamed("vertex", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "doc_id")
     least = labels.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_sig = labels.join(least, "root").select("sig", "component_id")
