@@ -6,12 +6,12 @@ starts in a document with a smaller id; windows are judged on the input, not on
 Documents are dealt to groups by their hashed ids. Then, with messages between groups and slices of the hash range
 instead of one row a window:
 
-1. each group sketches its windows, each counted once a document, in a count-min sketch of ``DEPTH`` rows of about
+1. each group sketches its windows in a count-min sketch of ``DEPTH`` rows of about
    ``WIDTH`` slots a window, and sends each slice its non-zero slots, delta-coded (about a byte a window and row);
 2. a slice adds the groups' sketches and sends back to each group which of its slots reached two;
 3. windows all of whose slots reached two are possibly repeated. The estimate never falls short of the count, so none
    that repeats is lost. Groups send these only, as 64-bit fingerprints with the least id that holds them; a slice
-   takes the least id of all groups and sends back the fingerprints that an earlier document of another group holds;
+   takes the least id of all groups and sends it back with each fingerprint that a later document of the group holds;
 4. each group then knows for each of its windows whether an earlier document holds it, and removes the words.
 
 All state of a task is that of one group or one slice; both counts grow with the corpus (``GROUP_CHARS``). No row is
@@ -25,8 +25,6 @@ is smaller); each row is reported by itself. A null id is larger than every othe
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +34,8 @@ from glyphmill.llm.common import binary_values
 from glyphmill.llm.words import mix, window_hashes, word_hashes
 
 WINDOW, DEPTH, WIDTH = 13, 2, 4
-#: Characters of a group's documents, on average; windows of a slice, about.
-GROUP_CHARS = 16_000_000
+#: Characters of a group's documents, on average.
+GROUP_CHARS = 8_000_000
 #: Stands for a null id in comparisons.
 NO_ID = np.iinfo(np.int64).max
 _SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -67,6 +65,19 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
 
 
+def _zip(ids: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(ids.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unzip(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
 def _inside(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     """Whether each x is in a sorted array."""
     if len(sorted_values) == 0:
@@ -87,44 +98,48 @@ def _by_slice(sorted_values: np.ndarray, shift: int, n_slices: int) -> list[tupl
     return [(s, a, b) for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
 
 
+class Members:
+    """Membership in a sorted array: a table of low bits turns most strangers away before the binary search."""
+
+    BITS = 22
+
+    def __init__(self, sorted_values: np.ndarray):
+        self.values = sorted_values
+        self.mask = np.uint64((1 << self.BITS) - 1)
+        self.table = np.zeros(1 << self.BITS, bool)
+        self.table[sorted_values & self.mask] = True
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in x, places in the array) of the x that are in it."""
+        if len(self.values) == 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.table[x & self.mask])
+        to = np.minimum(np.searchsorted(self.values, x[at]), len(self.values) - 1)
+        ok = self.values[to] == x[at]
+        return at[ok], to[ok]
+
+
 class Group:
-    """Documents of one group: ids and fingerprints of windows."""
+    """Documents of one group: ids, words and fingerprints of windows."""
 
     def __init__(self, ids: list[int | None], texts: list[bytes | None], window: int):
-        self.raw_ids = ids
-        self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
-        self.texts, self.window, self.h = texts, window, []
+        self.raw_ids, self.window = ids, window
+        self.words: list[bytes] = []
+        n = []
         for t in texts:
-            w = (t or b"").split()
-            self.h.append(window_hashes(word_hashes(w), window) if len(w) >= window else np.zeros(0, np.uint64))
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sorted distinct fingerprints, least id that holds each, whether two different ids hold it)."""
-        n = [len(x) for x in self.h]
-        all_h = np.concatenate(self.h) if self.h else np.zeros(0, np.uint64)
-        owner = np.repeat(self.ids, n)
-        order = np.argsort(all_h, kind="stable")
-        all_h, owner = all_h[order], owner[order]
-        if len(all_h) == 0:
-            return all_h, owner, np.zeros(0, bool)
-        first = np.flatnonzero(np.r_[True, all_h[1:] != all_h[:-1]])
-        least, most = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
-        return all_h[first], least, least != most
-
-    def judged(self, known: np.ndarray, earlier: np.ndarray, firsts: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple]:
-        """(id, words, removed, digest) of each row; ``earlier``: fingerprints that other groups' earlier documents hold."""
-        keys, least = firsts
-        for raw, own, text, h in zip(self.raw_ids, self.ids, self.texts, self.h):
-            words = (text or b"").split()
-            drop = np.zeros(len(words) + 1, np.int64)
-            if len(h) and len(keys):
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                gone = np.flatnonzero((keys[at] == h) & ((least[at] < own) | _inside(h, earlier)))
-                np.add.at(drop, gone, 1)
-                np.add.at(drop, gone + self.window, -1)
-            out = np.cumsum(drop[:-1]) > 0
-            kept = [w for w, o in zip(words, out.tolist()) if not o] if out.any() else words
-            yield raw, len(words), int(out.sum()), kept
+            w = t.split() if t else []
+            self.words += w
+            n.append(len(w))
+        self.n = np.array(n, np.int64)
+        self.ends = np.cumsum(self.n)
+        own = np.array([NO_ID if i is None else i for i in ids], np.int64)
+        per_doc = np.maximum(self.n - window + 1, 0)
+        #: Window k starts at word ``at[k]`` and belongs to document id ``owner[k]``.
+        self.owner = np.repeat(own, per_doc)
+        first = np.repeat(self.ends - self.n, per_doc)
+        self.at = first + np.arange(len(first)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+        h = window_hashes(word_hashes(self.words), window) if len(self.words) >= window else np.zeros(0, np.uint64)
+        self.h = h[self.at] if len(self.at) else np.zeros(0, np.uint64)
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, group_chars: int) -> tuple[DataFrame, int, int]:
@@ -145,9 +160,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """doc_id, n_words, n_removed, kept_sha256 of each row, and with ``with_text`` the kept words joined by spaces."""
     grouped, n_groups, bits = _groups(docs, id_col, text_col, group_chars)
     spark = docs.sparkSession
-    n_slices = 1 << max(0, int(np.ceil(np.log2(n_groups))))
+    n_slices = 1 << max(0, int(np.ceil(np.log2(n_groups / 4))))  # a slice gathers about what four groups hold
     top = n_slices.bit_length() - 1
-    parts = max(n_groups, spark.sparkContext.defaultParallelism)
+    parts = max(n_groups // 2, spark.sparkContext.defaultParallelism)
     grouped = grouped.repartition(parts, "g")
     sent = pa.schema([("row", pa.int32()), ("slice", pa.int32()), ("g", pa.int32()), ("data", pa.binary())])
     ddl = "row int, slice int, g int, data binary"
@@ -158,17 +173,16 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     def sketch(t: pa.Table) -> pa.Table:
         if t.num_rows == 0:
             return sent.empty_table()
-        h, _, twice = group_of(t).distinct()
-        g, out = t.column("g")[0].as_py(), []
+        h, g, out = group_of(t).h, t.column("g")[0].as_py(), []
         for row in range(DEPTH):
-            # A slot counts twice where two documents or two windows of the group meet in it.
-            s, n = np.unique(slots(h, row, bits), return_counts=True)
-            double = np.isin(s, slots(h[twice], row, bits)) | (n > 1)
-            for k, a, b in _by_slice(s, bits - top, n_slices):
-                base = np.uint64(k << (bits - top))
-                out.append((row, k, g, pack(s[a:b] - base)))
-                if double[a:b].any():
-                    out.append((row + DEPTH, k, g, pack(s[a:b][double[a:b]] - base)))
+            # A slot counts twice where two windows of the group meet in it; two of one document may, which only overestimates.
+            s = np.sort(slots(h, row, bits))
+            first = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
+            double = np.unique(s[~first])
+            s = s[first]
+            for part, values in ((row, s), (row + DEPTH, double)):
+                for k, a, b in _by_slice(values, bits - top, n_slices):
+                    out.append((part, k, g, pack(values[a:b] - np.uint64(k << (bits - top)))))
         return _table(out, sent)
 
     def add_up(t: pa.Table) -> pa.Table:
@@ -188,47 +202,52 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         return _table(out, sent)
 
     def suspects(h: np.ndarray, answers: pa.Table) -> np.ndarray:
-        """Windows all of whose slots reached two."""
-        ok = np.ones(len(h), bool)
+        """Places of the windows all of whose slots reached two."""
+        at = np.arange(len(h))
         rows, ks, data = (answers.column(c).to_pylist() for c in ("row", "slice", "data"))
         for row in range(DEPTH):
             got = [unpack(x) + np.uint64(k << (bits - top)) for r, k, x in sorted(zip(rows, ks, data), key=lambda v: v[:2]) if r == row]
-            ok &= _inside(slots(h, row, bits), np.concatenate(got) if got else np.zeros(0, np.uint64))
-        return ok
+            hit, _ = Members(np.concatenate(got) if got else np.zeros(0, np.uint64)).find(slots(h[at], row, bits))
+            at = at[hit]
+        return at
 
-    asked = pa.schema([("slice", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
+    asked = pa.schema([("slice", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("twice", pa.binary())])
 
     def ask(t: pa.Table, answers: pa.Table) -> pa.Table:
-        import zstandard
-
+        """Suspect fingerprints with the least id of the group that holds each, and whether another id does."""
         if t.num_rows == 0:
             return asked.empty_table()
-        h, least, _ = group_of(t).distinct()
-        ok = suspects(h, answers)
-        h, least, g = h[ok], least[ok], t.column("g")[0].as_py()
-        zipped = zstandard.ZstdCompressor(level=1)
-        return _table([(k, g, pack(h[a:b]), zipped.compress(np.ascontiguousarray(least[a:b].astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())) for k, a, b in _by_slice(h, 64 - top, n_slices)], asked)
+        group, g = group_of(t), t.column("g")[0].as_py()
+        at = suspects(group.h, answers)
+        h, owner = group.h[at], group.owner[at]
+        order = np.argsort(h, kind="stable")
+        h, owner = h[order], owner[order]
+        if len(h) == 0:
+            return asked.empty_table()
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        least, most = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
+        keys, twice = h[first], least != most
+        return _table([(k, g, pack(keys[a:b]), _zip(least[a:b]), np.packbits(twice[a:b]).tobytes()) for k, a, b in _by_slice(keys, 64 - top, n_slices)], asked)
 
-    told = pa.schema([("g", pa.int32()), ("slice", pa.int32()), ("data", pa.binary())])
+    told = pa.schema([("g", pa.int32()), ("slice", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
 
     def answer(t: pa.Table) -> pa.Table:
-        import zstandard
-
-        unzip = zstandard.ZstdDecompressor()
+        """To each group its fingerprints that some later document of it holds, with the least id of all groups."""
         k, mine = t.column("slice")[0].as_py(), []
-        for g, keys, ids in zip(*(t.column(c).to_pylist() for c in ("g", "keys", "ids"))):
-            planes = np.frombuffer(unzip.decompress(ids), np.uint8).reshape(8, -1)
-            mine.append((g, unpack(keys), np.ascontiguousarray(planes.T).view("<i8").ravel()))
-        h, ids = np.concatenate([x for _, x, _ in mine]), np.concatenate([x for _, _, x in mine])
+        for g, keys, ids, twice in zip(*(t.column(c).to_pylist() for c in ("g", "keys", "ids", "twice"))):
+            x = unpack(keys)
+            mine.append((g, x, _unzip(ids), np.unpackbits(np.frombuffer(twice, np.uint8), count=len(x)).astype(bool)))
+        h, ids = np.concatenate([x[1] for x in mine]), np.concatenate([x[2] for x in mine])
         order = np.argsort(h, kind="stable")
         h, ids = h[order], ids[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         keys, least = h[first], np.minimum.reduceat(ids, first)
         out = []
-        for g, x, own in mine:
-            hit = x[least[np.searchsorted(keys, x)] < own]
-            if len(hit):
-                out.append((g, k, pack(hit)))
+        for g, x, own, twice in mine:
+            all_least = least[np.searchsorted(keys, x)]
+            hit = twice | (all_least < own)
+            if hit.any():
+                out.append((g, k, pack(x[hit]), _zip(all_least[hit])))
         return _table(out, told)
 
     result = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("kept_text", pa.string())] if with_text else [])])
@@ -237,19 +256,28 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         if t.num_rows == 0:
             return result.empty_table()
         group = group_of(t)
-        h, least, _ = group.distinct()
-        parts = [unpack(x) for _, x in sorted(zip(earlier.column("slice").to_pylist(), earlier.column("data").to_pylist()))]
-        rows = []
-        for i, n, gone, kept in group.judged(h, np.concatenate(parts) if parts else np.zeros(0, np.uint64), (h, least)):
+        told_rows = sorted(zip(earlier.column("slice").to_pylist(), earlier.column("keys").to_pylist(), earlier.column("ids").to_pylist()))
+        drop = np.zeros(len(group.words) + 1, np.int64)
+        if told_rows:
+            keys, least = np.concatenate([unpack(x[1]) for x in told_rows]), np.concatenate([_unzip(x[2]) for x in told_rows])
+            at, to = Members(keys).find(group.h)
+            gone = group.at[at[least[to] < group.owner[at]]]
+            np.add.at(drop, gone, 1)
+            np.add.at(drop, gone + window, -1)
+        out, rows, start = np.cumsum(drop[:-1]) > 0, [], 0
+        for i, end in zip(group.raw_ids, group.ends.tolist()):
+            words, mark = group.words[start:end], out[start:end]
+            kept = [w for w, o in zip(words, mark.tolist()) if not o] if mark.any() else words
             text = b" ".join(kept)
-            rows.append((i, n, gone, hashlib.sha256(text).hexdigest(), *([text.decode("utf-8")] if with_text else [])))
+            rows.append((i, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), *([text.decode("utf-8")] if with_text else [])))
+            start = end
         return _table(rows, result)
 
     # One plan: the shuffle of the texts is made once and reused by all three passes.
     by_group = grouped.groupBy("g")
     sketches = by_group.applyInArrow(sketch, ddl)
     reached = sketches.withColumn("sketch_row", F.col("row") % DEPTH).groupBy("sketch_row", "slice").applyInArrow(add_up, ddl)
-    asks = by_group.cogroup(reached.groupBy("g")).applyInArrow(ask, "slice int, g int, keys binary, ids binary")
-    held = asks.groupBy("slice").applyInArrow(answer, "g int, slice int, data binary")
+    asks = by_group.cogroup(reached.groupBy("g")).applyInArrow(ask, "slice int, g int, keys binary, ids binary, twice binary")
+    held = asks.groupBy("slice").applyInArrow(answer, "g int, slice int, keys binary, ids binary")
     kinds = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if with_text else "")
     return by_group.cogroup(held.groupBy("g")).applyInArrow(finish, kinds)

@@ -40,7 +40,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Fingerprints of all windows of n words; of the whole sequence where it is shorter; none of no words.
 
-    Word order counts. Two different windows share a fingerprint with a chance of about 2**-64.
+    Word order counts. Word fingerprints are random, so their odd-weighted sums agree by chance only, about 2**-64.
     """
     if len(h) == 0:
         return h
@@ -48,5 +48,5 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     count = len(h) - size + 1
     out = np.full(count, size, np.uint64)
     for k in range(size):
-        out = mix(out * _ODD + h[k : k + count])
-    return out
+        out = out * _ODD + h[k : k + count]
+    return mix(out)
