@@ -1,11 +1,416 @@
-"""Registry of queries and their SQL oracles."""
+"""Registry: one query for each operator of the engine over the driver's tables, and its DuckDB oracle.
+
+A vocabulary is learnt once for each session and corpus and kept (254 entries on the driver); everything else is computed anew.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphmill.functions import codec, markup
+from glyphmill.operators import dictionary as dic
+from glyphmill.operators import ngram, vocabulary
+from glyphmill.plans import oracles as o
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+_VOCABULARIES: dict[tuple, vocabulary.Vocabulary] = {}
+
+#: Prompts that the example programs of this kind of engine use.
+EXAMPLE_TEXT = "I would like to walkX my dog!"
+EXAMPLE_PROMPT = "i am the first one that "
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dic.dictionary(_docs(spark, sf_dir))
+
+
+def _vocab(spark: SparkSession, sf_dir: str) -> vocabulary.Vocabulary:
+    k = (spark.sparkContext.applicationId, sf_dir)
+    if k not in _VOCABULARIES:
+        _VOCABULARIES[k] = vocabulary.learn(_docs(spark, sf_dir))
+    return _VOCABULARIES[k]
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.tokenize_training(_docs(spark, sf_dir), _vocab(spark, sf_dir))
+
+
+def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.model(_tokens(spark, sf_dir))
+
+
+def _asked(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Distinct words of a table's texts, as queries."""
+    return table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}'-]+"), 0)).alias("query")).distinct()
+
+
+# --- Text -----------------------------------------------------------------------------------------------------------
+
+
+@query("normalize_text", o.select(o.STREAMS, "SELECT doc_id, tt AS token_text FROM s"))
+def normalize_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", codec.stream(F.col("text")).alias("token_text"))
+
+
+@query("decode_text", o.select(o.STREAMS, f"SELECT doc_id, {o.decode('tt')} AS plain FROM s"))
+def decode_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", codec.decode(codec.stream(F.col("text"))).alias("plain"))
+
+
+@query("encode_unknown", f"SELECT conv_id, turn, {o.encode_all('text')} AS token_text FROM conversations")
+def encode_unknown(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", codec.encode_all(F.col("text")).alias("token_text"))
+
+
+@query("seven_bit_encode", f"SELECT doc_id, regexp_replace(regexp_replace(text, '{o.WS}', ' ', 'g'), '[^ -~]', chr(127), 'g') AS seven FROM documents")
+def seven_bit_encode(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", codec.seven_bit(F.col("text")).alias("seven"))
+
+
+_MARKUP_SQL = """WITH t AS (SELECT page_id, 'dropped <doc id="' || page_id || '">' || html || '</doc> kept' AS t FROM pages),
+p AS (SELECT page_id, regexp_extract_all(regexp_replace(t, '<[^>]*$', ''), '<[^>]*>|[^<]+') AS p FROM t),
+f AS (SELECT page_id, p, list_position(list_transform(p, lambda x: starts_with(x, '<') AND starts_with(lower('<' || ltrim(substr(x, 2))), '<doc ')), true) AS st FROM p)
+SELECT page_id, array_to_string(list_transform(list_slice(p, st, len(p)), lambda x: CASE WHEN starts_with(x, '<') AND starts_with(lower('<' || ltrim(substr(x, 2))), '<doc ') THEN ' ' WHEN starts_with(x, '<') THEN '' ELSE x END), '') AS plain FROM f"""
+
+
+@query("strip_markup", _MARKUP_SQL)
+def strip_markup(spark, sf_dir):
+    wrapped = F.concat(F.lit('dropped <doc id="'), F.col("page_id").cast("string"), F.lit('">'), F.col("html"), F.lit("</doc> kept"))
+    return table(spark, sf_dir, "pages").select("page_id", markup.strip_markup(wrapped).alias("plain"))
+
+
+@query("latest_dump_date", "SELECT max(d) AS latest FROM (SELECT unnest(regexp_extract_all('<a href=\"' || strftime(o_orderdate, '%Y%m%d') || '/\">', 'href=\"(\\d{8})/\"', 1)) AS d FROM orders)")
+def latest_dump_date(spark, sf_dir):
+    index = F.concat(F.lit('<a href="'), F.date_format("o_orderdate", "yyyyMMdd"), F.lit('/">'))
+    return table(spark, sf_dir, "orders").select(F.explode(markup.dump_dates(index)).alias("d")).agg(F.max("d").alias("latest"))
+
+
+@query("article_dump", "SELECT page_id, 'wiki-' || page_id || '-pages-articles-multistream.xml.bz2' AS file FROM pages")
+def article_dump(spark, sf_dir):
+    page = F.concat(F.col("html"), F.lit('<a href="/dump/wiki-'), F.col("page_id").cast("string"), F.lit('-pages-articles-multistream.xml.bz2">'))
+    return table(spark, sf_dir, "pages").select("page_id", markup.article_dump(page).alias("file"))
+
+
+# --- Dictionary -----------------------------------------------------------------------------------------------------
+
+_DICT = (o.STREAMS, o.WORDS, o.COUNTS, o.DICT)
+
+
+@query("word_counts", o.select(o.STREAMS, o.WORDS, o.COUNTS, "SELECT tt, word, cnt FROM wc"))
+def word_counts(spark, sf_dir):
+    return dic.word_counts(_docs(spark, sf_dir))
+
+
+@query("word_counts_by_lang", o.select(o.STREAMS, o.WORDS, f"SELECT lang, tt, {o.decode('tt')} AS word, count(*)::BIGINT AS cnt FROM w GROUP BY lang, tt HAVING {o.accepted('tt')}"))
+def word_counts_by_lang(spark, sf_dir):
+    return dic.word_counts(_docs(spark, sf_dir), by=("lang",))
+
+
+@query("word_acceptance", o.select(o.STREAMS, o.WORDS, f"SELECT DISTINCT tt, {o.accepted('tt')} AS accepted FROM w"))
+def word_acceptance(spark, sf_dir):
+    return dic.words(_docs(spark, sf_dir)).distinct().select("tt", dic.accepted(F.col("tt")).alias("accepted"))
+
+
+@query("word_dictionary", o.select(*_DICT, "SELECT * FROM d"))
+def word_dictionary(spark, sf_dir):
+    return _dictionary(spark, sf_dir)
+
+
+@query("merge_counts", o.select(o.STREAMS, o.WORDS, f"SELECT tt, {o.decode('tt')} AS word, count(*)::BIGINT AS cnt FROM w WHERE lang IS NOT NULL GROUP BY tt HAVING {o.accepted('tt')}"))
+def merge_counts(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return dic.merge_counts(dic.word_counts(d.where("lang = 'en'")), dic.word_counts(d.where("lang <> 'en'")))
+
+
+@query("dictionary_ordering", o.select(*_DICT, "SELECT idx, previous, tt FROM (SELECT idx, lag(tt) OVER (ORDER BY idx) AS previous, tt FROM d) WHERE previous >= tt"))
+def dictionary_ordering(spark, sf_dir):
+    return dic.ordering_violations(_dictionary(spark, sf_dir))
+
+
+@query("word_at", o.select(*_DICT, "SELECT DISTINCT item_id * 7 AS idx, word FROM benchmark JOIN d ON d.idx = item_id * 7"))
+def word_at(spark, sf_dir):
+    wanted = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 7).alias("idx")).distinct()
+    return wanted.join(_dictionary(spark, sf_dir), "idx").select("idx", "word")
+
+
+@query("dictionary_contains", o.select(*_DICT, o.raw_words("conversations"), "SELECT query, d.tt IS NOT NULL AS found FROM q LEFT JOIN d ON d.tt = q.q"))
+def dictionary_contains(spark, sf_dir):
+    return dic.contains(_asked(spark, sf_dir, "conversations"), _dictionary(spark, sf_dir))
+
+
+@query("dictionary_index_of", o.select(*_DICT, o.raw_words("conversations"), "SELECT query, coalesce(idx, -1) AS idx FROM q LEFT JOIN d ON d.tt = q.q"))
+def dictionary_index_of(spark, sf_dir):
+    return dic.index_of(_asked(spark, sf_dir, "conversations"), _dictionary(spark, sf_dir))
+
+
+@query("unknown_words", o.select(*_DICT, o.raw_words("conversations"), "SELECT query FROM q WHERE q NOT IN (SELECT tt FROM d)"))
+def unknown_words(spark, sf_dir):
+    return dic.unknown_words(_asked(spark, sf_dir, "conversations"), _dictionary(spark, sf_dir))
+
+
+@query("prefix_range", o.select(*_DICT, o.raw_words("benchmark"), "px AS (SELECT left(tt, 2) AS p, min(idx) AS first, max(idx) + 1 AS last FROM d WHERE length >= 2 GROUP BY p), al AS (SELECT min(idx) AS first, max(idx) + 1 AS last FROM d)", "SELECT query, px.first, px.last FROM q LEFT JOIN px ON px.p = left(q, 2) WHERE length(q) >= 2 UNION ALL SELECT query, first, last FROM q, al WHERE length(q) < 2"))
+def prefix_range(spark, sf_dir):
+    return dic.prefix_ranges(_asked(spark, sf_dir, "benchmark"), _dictionary(spark, sf_dir))
+
+
+_PAIRS = "prs AS MATERIALIZED (SELECT query, q, d.*, levenshtein(q, d.tt)::INT AS dist FROM q JOIN d ON left(d.tt, 2) = left(q, 2) WHERE length(q) >= 2 AND d.length >= 2 UNION ALL SELECT query, q, d.*, levenshtein(q, d.tt)::INT FROM q, d WHERE length(q) = 1)"
+
+
+@query("closest_word", o.select(*_DICT, o.raw_words("benchmark"), _PAIRS, "b AS (SELECT query, word, dist, row_number() OVER (PARTITION BY query ORDER BY dist, idx) AS rk FROM prs)", "SELECT q.query, b.word AS closest, b.dist FROM q LEFT JOIN b ON b.query = q.query AND rk = 1"))
+def closest_word(spark, sf_dir):
+    return dic.closest(_asked(spark, sf_dir, "benchmark"), _dictionary(spark, sf_dir))
+
+
+@query("within_distance", o.select(*_DICT, o.raw_words("benchmark"), _PAIRS, "SELECT query, word, idx, dist FROM prs WHERE dist < 3"))
+def within_distance(spark, sf_dir):
+    return dic.within_distance(_asked(spark, sf_dir, "benchmark"), _dictionary(spark, sf_dir), 3)
+
+
+_EXAMPLE = f"q AS (SELECT DISTINCT query, {o.encode_all('query')} AS q FROM (SELECT unnest(regexp_extract_all('{EXAMPLE_TEXT}', '[\\p{{L}}''-]+')) AS query))"
+_NEAR = "nr AS (SELECT query, d.word, d.idx, levenshtein(q, d.tt)::INT AS dist FROM q JOIN d ON abs(length(q) - d.length) <= {k} WHERE levenshtein(q, d.tt) <= {k})"
+
+
+@query("within_distance_grouped", o.select(*_DICT, _EXAMPLE, _NEAR.format(k=3), "SELECT query, dist, array_to_string(list(word ORDER BY idx), ' ') AS words FROM nr GROUP BY query, dist"))
+def within_distance_grouped(spark, sf_dir):
+    q = spark.createDataFrame([(EXAMPLE_TEXT,)], "text string").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}'-]+"), 0)).alias("query")).distinct()
+    return dic.within_distance_grouped(q, _dictionary(spark, sf_dir), 3).select("query", "dist", F.array_join("words", " ").alias("words"))
+
+
+_WORD = "[\\p{L}''-]+"
+
+
+def _spell_sql() -> str:
+    text = f"t AS (SELECT 1::BIGINT AS text_id, '{EXAMPLE_TEXT}' AS text)"
+    words = f"tw AS (SELECT text_id, unnest(regexp_extract_all(text, '{_WORD}')) AS word, generate_subscripts(regexp_extract_all(text, '{_WORD}'), 1) AS k, text FROM t)"
+    before = f"sum(length(word)) OVER (ORDER BY k) - length(word) + length(array_to_string(string_split_regex(text, '{_WORD}')[1:k], ''))"
+    places = f'ps AS (SELECT text_id, word, ({before})::INT AS "start" FROM tw)'
+    asked = f"q AS (SELECT DISTINCT word AS query, {o.encode_all('word')} AS q FROM ps)"
+    ranked = "SELECT *, rank() OVER (PARTITION BY query ORDER BY dist) AS rk FROM nr"
+    nearest = f"nst AS (SELECT query, array_to_string(list(word ORDER BY idx), ' ') AS words FROM ({ranked}) WHERE rk = 1 GROUP BY query)"
+    fix = "CASE WHEN d.tt IS NULL THEN coalesce(words, '') ELSE '' END AS corrections"
+    out = f'SELECT text_id, ps.word, "start", ("start" + length(ps.word))::INT AS "end", length(ps.word)::INT AS length, d.tt IS NOT NULL AS recognised, {fix}'
+    joins = f"FROM ps LEFT JOIN d ON d.tt = {o.encode_all('ps.word')} LEFT JOIN nst ON nst.query = ps.word"
+    return o.select(*_DICT, text, words, places, asked, _NEAR.format(k=5), nearest, f"{out} {joins}")
+
+
+@query("spell_check", _spell_sql())
+def spell_check(spark, sf_dir):
+    t = spark.createDataFrame([(1, EXAMPLE_TEXT)], "text_id bigint, text string")
+    return dic.spell_check(t, _dictionary(spark, sf_dir), 5, ("text_id",)).withColumn("corrections", F.array_join("corrections", " "))
+
+
+@query("correct_sentence", o.select(*_DICT, "pos AS (SELECT item_id, unnest(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS query, generate_subscripts(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1) AS k FROM benchmark)", f"q AS MATERIALIZED (SELECT DISTINCT query, {o.encode_all('query')} AS q FROM pos)", _PAIRS, "b AS (SELECT query, word FROM prs QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, idx) = 1)", "SELECT item_id, string_agg(coalesce(word, query), ' ' ORDER BY k) AS corrected FROM pos LEFT JOIN b USING (query) GROUP BY item_id"))
+def correct_sentence(spark, sf_dir):
+    return dic.correct_sentence(table(spark, sf_dir, "benchmark"), _dictionary(spark, sf_dir), ("item_id",))
+
+
+@query("packed_dictionary_stats", o.select(*_DICT, "SELECT count(*) AS words, sum(ceil(length * 6 / 8.0))::BIGINT AS bytes, max(length) AS longest FROM d"))
+def packed_dictionary_stats(spark, sf_dir):
+    d = _dictionary(spark, sf_dir)
+    return d.agg(F.count("*").alias("words"), F.sum(F.ceil(F.col("length") * 6 / 8)).cast("bigint").alias("bytes"), F.max("length").alias("longest"))
+
+
+# --- Vocabulary -----------------------------------------------------------------------------------------------------
+
+_GRAM = o.GRAMS.format
+
+
+def _gram_query(n: int) -> None:
+    @query(f"gram_counts_len{n}", o.select(o.STREAMS, _GRAM(a=n, b=n + 1), "SELECT len, gram, cnt FROM g"))
+    def gram_counts(spark, sf_dir):
+        return vocabulary.gram_counts(_docs(spark, sf_dir), [n]).select("len", codec.unpacked(F.col("packed")).alias("gram"), "cnt")
+
+
+for _n in range(1, 10):
+    _gram_query(_n)
+
+
+@query("gram_stats", o.select(o.STREAMS, _GRAM(a=1, b=10), "SELECT len, count(*) AS n_grams, sum(cnt)::BIGINT AS total, max(cnt) AS most FROM g GROUP BY len"))
+def gram_stats(spark, sf_dir):
+    return vocabulary.gram_counts(_docs(spark, sf_dir)).groupBy("len").agg(F.count("*").alias("n_grams"), F.sum("cnt").alias("total"), F.max("cnt").alias("most"))
+
+
+@query("gram_weights", o.select(o.STREAMS, _GRAM(a=1, b=10), f"SELECT len, {o.WEIGHT} AS w, count(*) AS n FROM g GROUP BY ALL"))
+def gram_weights(spark, sf_dir):
+    g = vocabulary.gram_counts(_docs(spark, sf_dir))
+    return g.groupBy("len", vocabulary.weight(F.col("cnt"), F.col("len")).alias("w")).agg(F.count("*").alias("n"))
+
+
+@query("gram_topk", o.select(o.STREAMS, _GRAM(a=1, b=10), "SELECT len, gram, cnt, rk::INT AS rk FROM (SELECT *, row_number() OVER (PARTITION BY len ORDER BY cnt DESC, gram) AS rk FROM g) WHERE rk <= 100"))
+def gram_topk(spark, sf_dir):
+    top = vocabulary.top_grams(vocabulary.gram_counts(_docs(spark, sf_dir)), 100)
+    return top.select("len", codec.unpacked(F.col("packed")).alias("gram"), "cnt", "rk")
+
+
+_VOC = (o.STREAMS, o.vocabulary())
+
+
+@query("vocabulary", o.select(*_VOC, f"SELECT token, seq, {o.decode('seq')} AS text FROM v"))
+def vocabulary_entries(spark, sf_dir):
+    return _vocab(spark, sf_dir).frame(spark).select("token", "seq", "text")
+
+
+@query("vocabulary_packed", o.select(*_VOC, f"SELECT token, list_reduce(list_transform(string_split(seq, ''), lambda c: (instr('{codec.ALPHABET}', c) - 1)::BIGINT), lambda a, b: a * 64 + b) AS packed FROM v"))
+def vocabulary_packed(spark, sf_dir):
+    return _vocab(spark, sf_dir).frame(spark).select("token", codec.packed(F.col("seq")).alias("packed"))
+
+
+def _by_lang_sql() -> str:
+    parts = []
+    for lang in ("de", "en", "es", "fr"):
+        v = o.vocabulary()
+        s = f"s AS MATERIALIZED (SELECT doc_id, {o.stream('text')} AS tt FROM documents WHERE lang = '{lang}')"
+        parts.append("(" + o.select(s, v, f"SELECT '{lang}' AS lang, token, seq FROM v") + ")")
+    return " UNION ALL ".join(f"SELECT * FROM {p}" for p in parts)
+
+
+@query("vocabulary_by_lang", _by_lang_sql())
+def vocabulary_by_lang(spark, sf_dir):
+    found = vocabulary.learn_by(_docs(spark, sf_dir), "lang")
+    rows = [(lang, t, s) for lang, v in found.items() for t, s in v.entries]
+    return spark.createDataFrame(rows, "lang string, token int, seq string")
+
+
+_TOK = (*_VOC, o.TOKENS)
+
+
+@query("tokenize_training", o.select(*_TOK, "SELECT doc_id, string_agg(tok, ' ' ORDER BY pos) AS tokens FROM tk GROUP BY doc_id"))
+def tokenize_training(spark, sf_dir):
+    return _tokens(spark, sf_dir).where(F.size("tokens") > 0).select("doc_id", F.array_join(F.transform("tokens", lambda t: t.cast("string")), " ").alias("tokens"))
+
+
+@query("tokenize_inference", o.select(*_VOC, f"pieces AS (SELECT conv_id, turn, regexp_extract_all({o.encode_all('text')}, (SELECT p FROM pat)) AS ps FROM conversations), vm AS (SELECT map_from_entries(list((seq, token))) AS mp FROM v)", "SELECT conv_id, turn, array_to_string(list_transform(ps, lambda x: mp[x]::VARCHAR), ' ') AS tokens FROM pieces, vm"))
+def tokenize_inference(spark, sf_dir):
+    t = vocabulary.tokenize_inference(table(spark, sf_dir, "conversations"), _vocab(spark, sf_dir), ("conv_id", "turn"))
+    return t.select("conv_id", "turn", F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ").alias("tokens"))
+
+
+@query("token_frequency", o.select(*_TOK, "SELECT tok AS token, count(*) AS cnt FROM tk GROUP BY tok"))
+def token_frequency(spark, sf_dir):
+    return vocabulary.token_frequency(_tokens(spark, sf_dir))
+
+
+# --- N-grams --------------------------------------------------------------------------------------------------------
+
+_HIST = (*_TOK, o.HISTORY)
+
+
+def _strategy_queries(name: str) -> None:
+    @query(f"context_{name}", o.select(*_HIST, f"SELECT doc_id, count(*) AS n, sum({o.key(name)})::BIGINT AS total, count(DISTINCT {o.key(name)}) AS contexts FROM h GROUP BY doc_id"))
+    def contexts(spark, sf_dir):
+        k = ngram.context_keys(ngram.histories(_tokens(spark, sf_dir)), name)
+        return k.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("ctx").alias("total"), F.countDistinct("ctx").alias("contexts"))
+
+    @query(f"ngram_counts_{name}", o.select(*_HIST, o.counts(name), "SELECT (ctx % 65536)::BIGINT AS tail, tok, count(*) AS contexts, sum(cnt)::BIGINT AS total FROM c GROUP BY ALL"))
+    def counts(spark, sf_dir):
+        c = ngram.context_counts(ngram.histories(_tokens(spark, sf_dir)), name)
+        return c.groupBy((F.col("ctx") % 65536).alias("tail"), "tok").agg(F.count("*").alias("contexts"), F.sum("cnt").alias("total"))
+
+    @query(f"ngram_top2_{name}", o.select(*_HIST, o.counts(name), o.MODEL, "SELECT ctx, first, second FROM m"))
+    def top2(spark, sf_dir):
+        return ngram.model(_tokens(spark, sf_dir), name)
+
+
+for _s in ("linear", "skipping", "xor"):
+    _strategy_queries(_s)
+
+
+@query("ngram_pruned", o.select(*_HIST, o.counts("xor", least=2), o.MODEL, "SELECT ctx, first, second FROM m"))
+def ngram_pruned(spark, sf_dir):
+    return ngram.model(_tokens(spark, sf_dir), "xor", least=2)
+
+
+_MOD = (*_HIST, o.counts("xor"), o.MODEL)
+_PROMPTS = o.prompts_fixed("benchmark", "item_id")
+
+
+def _prompt_contexts(spark, sf_dir):
+    t = vocabulary.tokenize_inference(table(spark, sf_dir, "benchmark"), _vocab(spark, sf_dir), ("item_id",))
+    return t.select("item_id", ngram.context_of(F.col("tokens")).alias("context"))
+
+
+@query("predict", o.select(*_MOD, _PROMPTS, f"SELECT item_id, coalesce(m.first, -1) AS best FROM (SELECT item_id, {o.key('xor')} AS ctx FROM pr) LEFT JOIN m USING (ctx)"))
+def predict(spark, sf_dir):
+    return ngram.predict(_prompt_contexts(spark, sf_dir), _model(spark, sf_dir)).select("item_id", "best")
+
+
+@query("predict_all", o.select(*_MOD, _PROMPTS, f"SELECT item_id, concat_ws(' ', m.first, CASE WHEN m.second <> m.first THEN m.second END) AS predictions FROM (SELECT item_id, {o.key('xor')} AS ctx FROM pr) LEFT JOIN m USING (ctx)"))
+def predict_all(spark, sf_dir):
+    p = ngram.predict(_prompt_contexts(spark, sf_dir), _model(spark, sf_dir))
+    return p.select("item_id", F.array_join(F.transform("predictions", lambda t: t.cast("string")), " ").alias("predictions"))
+
+
+_BACKED = " UNION ALL ".join(f"SELECT item_id, {n} AS level, {o.key('xor', range(1, 9 - n))} AS ctx FROM {{src}}" for n in range(8))
+
+
+@query("predict_backoff", o.select(*_MOD, _PROMPTS, f"bk AS ({_BACKED.format(src='pr')})", "hit AS (SELECT item_id, level, first, second FROM bk JOIN m USING (ctx) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY level) = 1)", "SELECT item_id, level::INT AS level, concat_ws(' ', first, CASE WHEN second <> first THEN second END) AS predictions FROM pr LEFT JOIN hit USING (item_id)"))
+def predict_backoff(spark, sf_dir):
+    p = ngram.predict_backoff(_prompt_contexts(spark, sf_dir), _model(spark, sf_dir), ("item_id",))
+    return p.select("item_id", "level", F.array_join(F.transform("predictions", lambda t: t.cast("string")), " ").alias("predictions"))
+
+
+GENERATED = 5
+
+
+def _generate_sql() -> str:
+    steps = []
+    for n in range(GENERATED):
+        src = "st0" if n == 0 else f"st{n}"
+        shifted = ", ".join(["coalesce(first, p1)::BIGINT AS p1"] + [f"CASE WHEN first IS NULL THEN p{k} ELSE p{k - 1} END AS p{k}" for k in range(2, 9)])
+        steps.append(f"bk{n} AS ({_BACKED.format(src=src + ' WHERE on_')})")
+        steps.append(f"ht{n} AS (SELECT item_id, first FROM bk{n} JOIN m USING (ctx) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY level) = 1)")
+        steps.append(f"st{n + 1} AS MATERIALIZED (SELECT item_id, {shifted}, txt || coalesce({o.decode('v.seq')}, '') AS txt, on_ AND first IS NOT NULL AS on_ FROM {src} LEFT JOIN ht{n} USING (item_id) LEFT JOIN v ON v.token = first)")
+    start = "st0 AS MATERIALIZED (SELECT *, '' AS txt, true AS on_ FROM pr)"
+    return o.select(*_MOD, _PROMPTS, start, *steps, f"SELECT item_id, txt AS generated FROM st{GENERATED}")
+
+
+@query("generate", _generate_sql())
+def generate(spark, sf_dir):
+    return ngram.generate(table(spark, sf_dir, "benchmark"), _model(spark, sf_dir), _vocab(spark, sf_dir), GENERATED, ("item_id",))
+
 
-def queries():
-    return {}
+@query("predict_branches")
+def predict_branches(spark, sf_dir):
+    example = spark.createDataFrame([(-1, EXAMPLE_PROMPT)], "item_id bigint, text string")
+    prompts = table(spark, sf_dir, "benchmark").select("item_id", "text").unionByName(example)
+    return ngram.predict_branches(prompts, _model(spark, sf_dir), _vocab(spark, sf_dir), 5, 10, ("item_id",))
 
 
-def oracle_sql():
-    return {}
+@query("model_sizes", o.select(*_DICT, o.vocabulary(), o.TOKENS, o.HISTORY, o.counts("xor"), "SELECT (SELECT count(*) FROM d) AS words, (SELECT count(*) FROM v) AS entries, (SELECT count(DISTINCT ctx) FROM c) AS contexts"))
+def model_sizes(spark, sf_dir):
+    words = _dictionary(spark, sf_dir).agg(F.count("*").alias("words"))
+    entries = _vocab(spark, sf_dir).frame(spark).agg(F.count("*").alias("entries"))
+    contexts = _model(spark, sf_dir).agg(F.count("*").alias("contexts"))
+    k = F.lit(1).alias("k")
+    return words.select(k, "words").join(entries.select(k, "entries"), "k").join(contexts.select(k, "contexts"), "k").drop("k")
