@@ -252,8 +252,19 @@ def _gram_query(n: int) -> None:
         return vocabulary.gram_counts(_docs(spark, sf_dir), [n]).select("len", codec.unpacked(F.col("packed")).alias("gram"), "cnt")
 
 
-for _n in range(1, 10):
+def _gram_digest_query(n: int) -> None:
+    """Long n-grams are many: the counts of all of them, summed up by their first four characters."""
+
+    @query(f"gram_counts_len{n}", o.select(o.STREAMS, _GRAM(a=n, b=n + 1), "SELECT len, left(gram, 4) AS start, count(*) AS n_grams, sum(cnt)::BIGINT AS total, sum(cnt * cnt)::BIGINT AS squares, min(gram) AS least FROM g GROUP BY ALL"))
+    def gram_counts(spark, sf_dir):
+        g = vocabulary.gram_counts(_docs(spark, sf_dir), [n]).select("len", codec.unpacked(F.col("packed")).alias("gram"), "cnt")
+        return g.groupBy("len", F.substring("gram", 1, 4).alias("start")).agg(F.count("*").alias("n_grams"), F.sum("cnt").alias("total"), F.sum(F.col("cnt") * F.col("cnt")).alias("squares"), F.min("gram").alias("least"))
+
+
+for _n in range(1, 6):
     _gram_query(_n)
+for _n in range(6, 10):
+    _gram_digest_query(_n)
 
 
 @query("gram_stats", o.select(o.STREAMS, _GRAM(a=1, b=10), "SELECT len, count(*) AS n_grams, sum(cnt)::BIGINT AS total, max(cnt) AS most FROM g GROUP BY len"))
@@ -326,6 +337,15 @@ def token_frequency(spark, sf_dir):
 _HIST = (*_TOK, o.HISTORY)
 
 
+#: Models have millions of contexts: all of them enter sums, by the last two tokens.
+_TOP2_SQL = "SELECT ctx % 65536 AS tail, count(*) AS contexts, sum(first)::BIGINT AS firsts, sum(second)::BIGINT AS seconds, sum((ctx // 65536 % 65521) * (first + 300 * coalesce(second, 255)))::BIGINT AS digest FROM m GROUP BY ALL"
+
+
+def _model_digest(model: DataFrame) -> DataFrame:
+    own = (F.floor(F.col("ctx") / 65536) % 65521) * (F.col("first") + 300 * F.coalesce("second", F.lit(255)))
+    return model.groupBy((F.col("ctx") % 65536).alias("tail")).agg(F.count("*").alias("contexts"), F.sum("first").alias("firsts"), F.sum("second").alias("seconds"), F.sum(own).alias("digest"))
+
+
 def _strategy_queries(name: str) -> None:
     @query(f"context_{name}", o.select(*_HIST, f"SELECT doc_id, count(*) AS n, sum({o.key(name)})::BIGINT AS total, count(DISTINCT {o.key(name)}) AS contexts FROM h GROUP BY doc_id"))
     def contexts(spark, sf_dir):
@@ -337,18 +357,18 @@ def _strategy_queries(name: str) -> None:
         c = ngram.context_counts(ngram.histories(_tokens(spark, sf_dir)), name)
         return c.groupBy((F.col("ctx") % 65536).alias("tail"), "tok").agg(F.count("*").alias("contexts"), F.sum("cnt").alias("total"))
 
-    @query(f"ngram_top2_{name}", o.select(*_HIST, o.counts(name), o.MODEL, "SELECT ctx, first, second FROM m"))
+    @query(f"ngram_top2_{name}", o.select(*_HIST, o.counts(name), o.MODEL, _TOP2_SQL))
     def top2(spark, sf_dir):
-        return ngram.model(_tokens(spark, sf_dir), name)
+        return _model_digest(ngram.model(_tokens(spark, sf_dir), name))
 
 
 for _s in ("linear", "skipping", "xor"):
     _strategy_queries(_s)
 
 
-@query("ngram_pruned", o.select(*_HIST, o.counts("xor", least=2), o.MODEL, "SELECT ctx, first, second FROM m"))
+@query("ngram_pruned", o.select(*_HIST, o.counts("xor", least=2), o.MODEL, _TOP2_SQL))
 def ngram_pruned(spark, sf_dir):
-    return ngram.model(_tokens(spark, sf_dir), "xor", least=2)
+    return _model_digest(ngram.model(_tokens(spark, sf_dir), "xor", least=2))
 
 
 _MOD = (*_HIST, o.counts("xor"), o.MODEL)
