@@ -31,7 +31,8 @@ from glyphmill.llm.common import free_name, map_rows
 
 #: Symbols (byte-level characters) from which a piece counts as long, symbols in a leaf, tokens in the first window.
 LONG, LEAF, WINDOW = 512, 256, 4
-#: Entries of a piece cache; a full cache is emptied, so memory stays bounded.
+#: Entries of a piece cache. A full cache takes no more, so frequent pieces, which come first, stay; it is emptied
+#: when it no longer knows half of the pieces.
 CACHE = 400_000
 
 
@@ -129,6 +130,7 @@ class PieceCoder:
         self.tree = TreeEncoder(spec)
         self.model = self.tree.last.model
         self.size, self.long = cache, long
+        self.missed = self.asked = 0  # since the cache is full
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]} if special else {}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = spec["normalizer"] is not None  # white space is dropped; else it is part of the pieces
@@ -167,9 +169,10 @@ class PieceCoder:
         if not text:
             return []
         s = text.decode("utf-8")
-        if len(self.cache) > self.size:
+        if self.missed * 2 > self.asked > self.size:
             self.cache.clear()
             self.shown.clear()
+            self.missed = self.asked = 0
         if SAFE.fullmatch(s) and not any(m in s for m in self.special):
             if self.words:
                 parts, ids_of = WORD_PIECES.findall(s.lower()), self._safe_ids
@@ -178,6 +181,8 @@ class PieceCoder:
         else:
             parts, ids_of = ["\0" + c for c in self._chunks(s) if c], lambda c: self._chunk_ids(c[1:])  # keys apart from the pieces'
         cache = self.cache
+        if len(cache) >= self.size:
+            self.asked += len(parts)
         try:
             return [cache[p] for p in parts]
         except KeyError:
@@ -187,7 +192,9 @@ class PieceCoder:
             ids = cache.get(p)
             if ids is None:
                 ids = array("I", ids_of(p)).tobytes()
-                if len(p) <= 64:
+                if len(cache) >= self.size:
+                    self.missed += 1
+                elif len(p) <= 64:
                     cache[p] = ids
             out.append(ids)
         return out
@@ -210,12 +217,10 @@ class PieceCoder:
             s = shown.get(x)
             if s is None:
                 s = self.decode(x)
-                if len(x) <= 256:
+                if len(x) <= 256 and len(shown) < self.size:
                     shown[x] = s
             if s:
                 out.append(s)
-        if len(shown) > self.size:
-            shown.clear()
         return " ".join(out)
 
 
