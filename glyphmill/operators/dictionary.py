@@ -13,6 +13,9 @@ from glyphmill.functions import codec
 #: Characters that end a word, as a regular expression on token text.
 BREAK = f"[{codec.SEPARATOR}{codec.SENTENCE_END}\\{codec.NULL}]+"
 
+#: Tokens of the pieces by which edit-distance search finds candidates, at least.
+PIECE = 3
+
 
 def accepted(word: Column) -> Column:
     """False for words of long runs: four equal tokens in a row; three, where the word is short or has few distinct tokens."""
@@ -123,21 +126,22 @@ def within_distance_all(queries: DataFrame, dic: DataFrame, limit: int, word_col
 
     Distinct queries only. A word within d edits of the query keeps one of the query's d + 1 pieces unchanged, at
     most d places away: queries are filed under their pieces and words under their substrings at those places, an
-    equi-join instead of all pairs. Queries too short to be split meet the words of like length.
+    equi-join instead of all pairs. Queries whose pieces would be shorter than ``PIECE`` tokens, which nearly every
+    word contains, meet the words of like length, by an equi-join on the length.
     """
     q = queries.select(query_token_text(F.col(word_col)).alias("q")).distinct().where("q <> ''")
     d = dic.select("tt", "word", "idx")
     parts = limit + 1
     n = F.length("q")
     cut = lambda k: F.floor(n * k / parts).cast("int")
-    pieces = q.where(n >= parts).select("q", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), n.alias("n"), (cut(k) + 1).alias("at"), (cut(k + 1) - cut(k)).alias("len"), F.substring("q", cut(k) + 1, cut(k + 1) - cut(k)).alias("piece")) for k in range(parts)))).alias("p")).select("q", "p.*")
+    pieces = q.where(n >= parts * PIECE).select("q", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), n.alias("n"), (cut(k) + 1).alias("at"), (cut(k + 1) - cut(k)).alias("len"), F.substring("q", cut(k) + 1, cut(k + 1) - cut(k)).alias("piece")) for k in range(parts)))).alias("p")).select("q", "p.*")
     shapes = pieces.select("n", "at", "len").distinct()  # a few for each length of a query
     by_length = F.sequence(F.greatest(F.lit(1), F.length("tt") - limit), F.length("tt") + limit)
     words_by_n = d.select("tt", F.explode(by_length).alias("n"))
     places = F.sequence(F.greatest(F.lit(1), F.col("at") - limit), F.col("at") + limit)
     subs = words_by_n.join(F.broadcast(shapes), "n").select("tt", "n", "at", "len", F.explode(places).alias("start")).select("tt", "n", "at", F.substring("tt", F.col("start"), F.col("len")).alias("piece"), "len").where(F.length("piece") == F.col("len")).distinct()
     cand = pieces.join(subs, ["n", "at", "len", "piece"]).select("q", "tt").distinct()
-    short = q.where(n < parts).withColumn("m", F.explode(F.sequence(F.greatest(F.lit(1), n - limit), n + limit))).join(d.select("tt", F.length("tt").alias("m")), "m").select("q", "tt")
+    short = q.where(n < parts * PIECE).withColumn("m", F.explode(F.sequence(F.greatest(F.lit(1), n - limit), n + limit))).join(d.select("tt", F.length("tt").alias("m")), "m").select("q", "tt")
     near = cand.unionByName(short).withColumn("dist", F.levenshtein("q", "tt", limit)).where("dist >= 0")
     return near.join(d, "tt").select("q", "tt", "word", "idx", "dist")
 

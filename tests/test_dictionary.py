@@ -48,7 +48,9 @@ def test_distances(spark):
     assert dic.closest(q, dic.dictionary(docs(spark, "car cap"))).first()["closest"] == "cap"
 
 
-def test_pigeonhole_equals_all_pairs(spark):
+@pytest.mark.parametrize("piece", [1, 3])
+def test_pigeonhole_equals_all_pairs(spark, monkeypatch, piece):
+    monkeypatch.setattr(dic, "PIECE", piece)
     rng = random.Random(3)
     make = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
     d = dic.dictionary(docs(spark, " ".join(make() for _ in range(150))))
