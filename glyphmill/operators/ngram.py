@@ -59,8 +59,9 @@ STRATEGIES: dict[str, tuple[Callable[[Previous], Column], Callable[[Previous], l
 def histories(tokenised: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, pos, tok, p1..p8) of every token; histories start anew in each document and come from its own array: no shuffle."""
     at = lambda i, k: F.when(i >= k, F.get(F.col("tokens"), i - k)).otherwise(0)
-    rows = F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.struct(i.alias("pos"), F.get(F.col("tokens"), i).alias("tok"), *(at(i, k).alias(f"p{k}") for k in range(1, 9))))
-    return tokenised.where(F.size("tokens") > 0).select(id_col, F.inline(rows))
+    places = F.when(F.size("tokens") > 0, F.sequence(F.lit(0), F.size("tokens") - 1))
+    rows = F.transform(places, lambda i: F.struct(i.alias("pos"), F.get(F.col("tokens"), i).alias("tok"), *(at(i, k).alias(f"p{k}") for k in range(1, 9))))
+    return tokenised.select(id_col, F.inline(rows))
 
 
 def _previous() -> Previous:
@@ -75,7 +76,9 @@ def context_keys(hist: DataFrame, strategy: str, id_col: str = "doc_id") -> Data
 def context_counts(hist: DataFrame, strategy: str, id_col: str = "doc_id", least: int = 1) -> DataFrame:
     """(ctx, tok, cnt, first_seen) over all levels; with ``least`` only contexts counted so often in total."""
     levels = F.array(*(F.struct(ctx.alias("ctx"), F.lit(w).cast("bigint").alias("w")) for ctx, w in STRATEGIES[strategy][1](_previous())))
-    rows = hist.select("tok", F.struct(F.col(id_col), F.col("pos")).alias("seen"), F.inline(levels))
+    # (id, pos) as one number: a struct's minimum would force sorts in place of hash aggregation.
+    seen = F.col(id_col).cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
+    rows = hist.select("tok", seen.alias("seen"), F.inline(levels))
     out = rows.groupBy("ctx", "tok").agg(F.sum("w").alias("cnt"), F.min("seen").alias("first_seen"))
     if least > 1:
         keep = out.groupBy("ctx").agg(F.sum("cnt").alias("total")).where(F.col("total") >= least).select("ctx")
