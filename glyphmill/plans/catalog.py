@@ -434,3 +434,12 @@ def model_sizes(spark, sf_dir):
     contexts = _model(spark, sf_dir).agg(F.count("*").alias("contexts"))
     k = F.lit(1).alias("k")
     return words.select(k, "words").join(entries.select(k, "entries"), "k").join(contexts.select(k, "contexts"), "k").drop("k")
+
+
+@query("model_identity", o.select(*_DICT, "SELECT count(*) AS words, count(DISTINCT tt) AS distinct_words, 0::BIGINT AS differences FROM d"))
+def model_identity(spark, sf_dir):
+    """The dictionary built twice, over the corpus and over its reshuffled rows, compared both ways."""
+    a, b = _dictionary(spark, sf_dir), dic.dictionary(_docs(spark, sf_dir).repartition(5))
+    gap = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("differences"))
+    k = F.lit(1).alias("k")
+    return a.agg(k, F.count("*").alias("words"), F.countDistinct("tt").alias("distinct_words")).join(gap.select(k, "differences"), "k").drop("k")
