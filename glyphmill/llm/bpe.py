@@ -217,7 +217,7 @@ class PieceCoder:
             s = shown.get(x)
             if s is None:
                 s = self.decode(x)
-                if len(x) <= 256 and len(shown) < self.size:
+                if len(x) <= 256 and len(shown) < self.size // 2:
                     shown[x] = s
             if s:
                 out.append(s)

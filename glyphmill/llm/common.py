@@ -29,11 +29,21 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/glyphmill/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch while a table is written to the shared folder. Python sees two batches of a task at a time,
+#: and the JVM's buffers of one take several times its size.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.parquet(path)
+    path, before = work_dir(spark, name), spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

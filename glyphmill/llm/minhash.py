@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import SLICE_ROWS, binary_values, free_name, map_rows, materialise
+from glyphmill.llm.common import free_name, map_rows, materialise
 from glyphmill.llm.components import components
 from glyphmill.llm.words import mix, window_hashes, word_hashes
 
 SIZE, BANDS, ROWS = 240, 40, 6
 #: Shingles of the members of one block of the block-wise comparison, about.
 BLOCK_SHINGLES = 200_000
+#: Pairs whose sets are Python objects at a time.
+VERIFY_ROWS = 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _32 = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -120,8 +122,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                part = whole.slice(at, SLICE_ROWS)
+            for at in range(0, whole.num_rows, VERIFY_ROWS):
+                part = whole.slice(at, VERIFY_ROWS)
                 us, vs, xs, ys = (part.column(i).to_pylist() for i in range(4))
                 keep = []
                 for x, y in zip(xs, ys):
