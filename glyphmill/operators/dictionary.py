@@ -95,9 +95,12 @@ def prefix_ranges(queries: DataFrame, dic: DataFrame, word_col: str = "query") -
     return long.unionByName(short)
 
 
-def _in_prefix(queries: DataFrame, dic: DataFrame, word_col: str) -> DataFrame:
-    """Pairs of a query and the words of its prefix range: (columns of queries, q, tt, word, idx)."""
-    q = queries.withColumn("q", query_token_text(F.col(word_col)))
+def _in_prefix(queries: DataFrame, dic: DataFrame, word_col: str | None) -> DataFrame:
+    """Pairs of a query and the words of its prefix range: (columns of queries, q, tt, word, idx).
+
+    Without ``word_col`` the queries have their token text in q already.
+    """
+    q = queries.withColumn("q", query_token_text(F.col(word_col))) if word_col else queries
     d = dic.select("tt", "word", "idx")
     long = q.where("length(q) >= 2").withColumn("px", F.substring("q", 1, 2)).join(d.where("length(tt) >= 2").withColumn("px", F.substring("tt", 1, 2)), "px").drop("px")
     # Queries of a single token range over everything; there are 64 of them at most.
@@ -107,10 +110,15 @@ def _in_prefix(queries: DataFrame, dic: DataFrame, word_col: str) -> DataFrame:
 
 def closest(queries: DataFrame, dic: DataFrame, word_col: str = "query") -> DataFrame:
     """Queries with the ``closest`` word of their prefix range (least distance, then least index), or null, and ``dist``."""
-    pairs = _in_prefix(queries, dic, word_col).withColumn("dist", F.levenshtein("q", "tt"))
-    best = pairs.groupBy("q").agg(F.min(F.struct("dist", "idx", "word")).alias("b")).select("q", F.col("b.word").alias("closest"), F.col("b.dist").alias("dist"))
+    asked = queries.select(query_token_text(F.col(word_col)).alias("query")).distinct()
+    known = asked.join(dic.select(F.col("tt").alias("query"), F.col("word").alias("closest")), "query").withColumn("dist", F.lit(0))
+    # Only words that the dictionary lacks are compared with their range.
+    rest = asked.join(dic.select(F.col("tt").alias("query")), "query", "left_anti").select(F.col("query").alias("q"))
+    pairs = _in_prefix(rest, dic, None).withColumn("dist", F.levenshtein("q", "tt"))
+    best = pairs.groupBy("q").agg(F.min(F.struct("dist", "idx", "word")).alias("b")).select(F.col("q").alias("query"), F.col("b.word").alias("closest"), F.col("b.dist").alias("dist"))
+    found = known.unionByName(best).withColumnRenamed("query", "q")
     q = queries.withColumn("q", query_token_text(F.col(word_col)))
-    return q.join(best, "q", "left").select(*queries.columns, "closest", "dist")
+    return q.join(found, "q", "left").select(*queries.columns, "closest", "dist")
 
 
 def within_distance(queries: DataFrame, dic: DataFrame, limit: int, word_col: str = "query") -> DataFrame:

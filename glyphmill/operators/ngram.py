@@ -152,7 +152,8 @@ def generate(prompts: DataFrame, mod: DataFrame, vocab: Vocabulary, steps: int,
     if steps < 0:
         raise ValueError("the number of tokens can't be negative")
     state = tokenize_inference(prompts, vocab, key_cols, text_col).select(*key_cols, context_of(F.col("tokens")).alias("context"), F.lit("").alias("generated"), F.lit(True).alias("on"))
-    state, mod = _cut(state), mod.persist()
+    state, own = _cut(state), not mod.is_cached
+    mod = mod.persist()
     for _ in range(steps):
         nxt = predict_backoff(state.where("on"), mod, key_cols, strategy).withColumn("tok", F.get("predictions", F.lit(0)))
         word = vocab.text_of(F.col("tok"))
@@ -163,7 +164,8 @@ def generate(prompts: DataFrame, mod: DataFrame, vocab: Vocabulary, steps: int,
             word.isNotNull().alias("on"),
         )
         state = _cut(moved.unionByName(state.where("not on")))
-    mod.unpersist()
+    if own:
+        mod.unpersist()
     return state.select(*key_cols, "generated")
 
 
@@ -177,7 +179,8 @@ def predict_branches(prompts: DataFrame, mod: DataFrame, vocab: Vocabulary, max_
         raise ValueError("branches and characters must be at least 1")
     keys = list(key_cols)
     live = _cut(tokenize_inference(prompts, vocab, key_cols, text_col).select(*keys, F.lit(0).cast("bigint").alias("ord"), context_of(F.col("tokens")).alias("context"), F.lit("").alias("text"), F.lit(0).cast("bigint").alias("before")))
-    done, mod = None, mod.persist()
+    done, own = None, not mod.is_cached
+    mod = mod.persist()
     for _ in range(max_chars + 1):  # each token has a character at least
         found = predict_backoff(live, mod, (*key_cols, "ord"), strategy)
         child = F.posexplode_outer(F.when(F.size("predictions") > 0, F.col("predictions")))
@@ -198,5 +201,6 @@ def predict_branches(prompts: DataFrame, mod: DataFrame, vocab: Vocabulary, max_
         live = _cut(go.select(*keys, F.col("place").alias("ord"), F.concat(F.slice("context", 2, 7), F.array("tok")).alias("context"), F.col("new_text").alias("text"), F.col("after").alias("before")))
         if live.isEmpty():
             break
-    mod.unpersist()
+    if own:
+        mod.unpersist()
     return done

@@ -1,12 +1,14 @@
 """Registry: one query for each operator of the engine over the driver's tables, and its DuckDB oracle.
 
-A vocabulary is learnt once for each session and corpus and kept (254 entries on the driver); everything else is computed anew.
+What the prediction and lookup queries ask is trained once for each session and corpus: the vocabulary (254 entries on the
+driver), the dictionary and the n-gram model (persisted). Queries about the training itself compute it anew.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 _VOCABULARIES: dict[tuple, vocabulary.Vocabulary] = {}
+_MODELS: dict[tuple, DataFrame] = {}
 
 #: Prompts that the example programs of this kind of engine use.
 EXAMPLE_TEXT = "I would like to walkX my dog!"
@@ -51,8 +54,16 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _kept(kind: str, spark: SparkSession, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A trained model, persisted for the session: queries ask a model, they don't train it again."""
+    k = (kind, spark.sparkContext.applicationId, sf_dir)
+    if k not in _MODELS:
+        _MODELS[k] = make().persist(StorageLevel.MEMORY_AND_DISK)
+    return _MODELS[k]
+
+
 def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dic.dictionary(_docs(spark, sf_dir))
+    return _kept("words", spark, sf_dir, lambda: dic.dictionary(_docs(spark, sf_dir)))
 
 
 def _vocab(spark: SparkSession, sf_dir: str) -> vocabulary.Vocabulary:
@@ -67,7 +78,7 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram.model(_tokens(spark, sf_dir))
+    return _kept("contexts", spark, sf_dir, lambda: ngram.model(_tokens(spark, sf_dir)))
 
 
 def _asked(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,7 +155,7 @@ def word_acceptance(spark, sf_dir):
 
 @query("word_dictionary", o.select(*_DICT, "SELECT * FROM d"))
 def word_dictionary(spark, sf_dir):
-    return _dictionary(spark, sf_dir)
+    return dic.dictionary(_docs(spark, sf_dir))
 
 
 @query("merge_counts", o.select(o.STREAMS, o.WORDS, f"SELECT tt, {o.decode('tt')} AS word, count(*)::BIGINT AS cnt FROM w WHERE lang IS NOT NULL GROUP BY tt HAVING {o.accepted('tt')}"))
