@@ -27,13 +27,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import free_name, map_rows
+from glyphmill.llm.common import claim, free_name, map_rows
 
 #: Symbols (byte-level characters) from which a piece counts as long, symbols in a leaf, tokens in the first window.
 LONG, LEAF, WINDOW = 512, 256, 4
 #: Entries of a piece cache. A full cache takes no more, so frequent pieces, which come first, stay; it is emptied
 #: when it no longer knows half of the pieces.
-CACHE = 400_000
+CACHE = 300_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -127,8 +127,8 @@ class PieceCoder:
         self.tok.no_padding()
         self.tok.encode_special_tokens = not special
         self.pre, self.norm = self.tok.pre_tokenizer, self.tok.normalizer
-        self.tree = TreeEncoder(spec)
-        self.model = self.tree.last.model
+        self.model = self.tok.model
+        self._text, self._tree = text, None
         self.size, self.long = cache, long
         self.missed = self.asked = 0  # since the cache is full
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]} if special else {}
@@ -140,6 +140,13 @@ class PieceCoder:
         self.symbols = byte_symbols()
         self.id_type = np.dtype("<u4")
 
+    @property
+    def tree(self) -> TreeEncoder:
+        """Made when the first long piece comes; most corpora have few or none."""
+        if self._tree is None:
+            self._tree = TreeEncoder(json.loads(self._text))
+        return self._tree
+
     def _piece_ids(self, piece: str) -> list[int]:
         return self.tree.encode(piece) if len(piece) > self.long else [t.id for t in self.model.tokenize(piece)]
 
@@ -229,7 +236,9 @@ _CODERS: dict[tuple, PieceCoder] = {}
 
 def coder(path: str, special: bool = True) -> PieceCoder:
     """The worker's coder, kept from task to task."""
+    claim("bpe", _CODERS.clear)
     if (path, special) not in _CODERS:
+        _CODERS.clear()
         _CODERS[path, special] = PieceCoder(path, special)
     return _CODERS[path, special]
 
@@ -256,7 +265,7 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", out: str =
 
         return f
 
-    return map_rows(docs, [text_col], out, f"struct<{kinds}>", make)
+    return map_rows(docs, [text_col], out, f"struct<{kinds}>", make, owner="bpe")
 
 
 def encoded_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

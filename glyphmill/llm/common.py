@@ -73,6 +73,24 @@ def binary_values(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+#: What a worker keeps from task to task, by owner: how to drop it. Only the owner that ran last keeps anything, so a
+#: worker that serves many operators in turn holds the memory of one.
+_KEPT: dict[str, Callable[[], None]] = {}
+_OWNER = ""
+
+
+def claim(owner: str, drop: Callable[[], None] | None = None) -> None:
+    global _OWNER
+    if drop is not None:
+        _KEPT[owner] = drop
+    if owner != _OWNER:
+        _OWNER = owner
+        for name, clear in _KEPT.items():
+            if name != owner:
+                clear()
+        pa.default_memory_pool().release_unused()
+
+
 #: Rows of one slice of an Arrow batch that is turned into Python objects at a time; bounds memory, not work.
 SLICE_ROWS = 512
 
@@ -84,11 +102,12 @@ def map_rows(
     out_type: str,
     make: Callable[[], Callable[..., list]],
     keep: bool = True,
+    owner: str = "",
 ) -> DataFrame:
     """Append column ``out``, computed in Python from ``inputs`` in batches.
 
     ``make`` runs once in each task and returns a function from lists of values (strings as UTF-8 bytes)
-    to a list of results. With ``keep=False`` only ``out`` is returned.
+    to a list of results. With ``keep=False`` only ``out`` is returned. ``owner`` names what the worker may keep.
     """
     field = T.StructType.fromDDL(f"v {out_type}").fields[0].dataType
     schema = T.StructType([*(df.schema.fields if keep else []), T.StructField(out, field)])
@@ -97,6 +116,7 @@ def map_rows(
     arrow_type = to_arrow_type(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
         f = make()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
@@ -109,6 +129,7 @@ def map_rows(
                 columns = [*batch.columns, made] if keep else [made]
                 names = [*batch.schema.names, out] if keep else [out]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

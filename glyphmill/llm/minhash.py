@@ -95,7 +95,7 @@ def sketched(docs: DataFrame, n_words: int, id_col: str, text_col: str) -> DataF
 
         return f
 
-    return map_rows(d, ["doc_id", "text"], "r", "struct<doc_id: bigint, n_shingles: bigint, sig: binary, sketch: binary>", make, keep=False).select("r.*")
+    return map_rows(d, ["doc_id", "text"], "r", "struct<doc_id: bigint, n_shingles: bigint, sig: binary, sketch: binary>", make, keep=False, owner="words").select("r.*")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -112,7 +112,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n_words: int, id_col: str, text_co
 
         return f
 
-    return map_rows(d, ["sig", "text"], "r", "struct<sig: binary, hashes: binary>", make, keep=False).where("r is not null").select("r.*").dropDuplicates(["sig"])
+    return map_rows(d, ["sig", "text"], "r", "struct<sig: binary, hashes: binary>", make, keep=False, owner="words").where("r is not null").select("r.*").dropDuplicates(["sig"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from glyphmill.llm.common import claim
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -34,6 +36,7 @@ _HASHES = WordHashes()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    claim("words", _HASHES.clear)
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
