@@ -105,4 +105,5 @@ def token_counts(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
     width = 2 if max(max(coder(path, special=False).name), end_id) < 1 << 16 else 4
     files = runs.groupBy("uri").agg(F.sum("n_bytes").alias("n_bytes"))
     order = runs.select("uri", "first", F.posexplode("doc_ids").alias("k", "doc_id")).select("uri", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
-    return scan_counts(files, end_id, width, block_bytes).join(order, ["uri", "ordinal"]).select("doc_id", "n_tokens")
+    # Merge, for the optimiser takes the exploded ids to be as small as their compressed file and would broadcast them.
+    return scan_counts(files, end_id, width, block_bytes).hint("merge").join(order.hint("merge"), ["uri", "ordinal"]).select("doc_id", "n_tokens")
