@@ -7,6 +7,8 @@ any document and layout (coreference). The surrogate keeps type and format: lett
 hexadecimal stays hexadecimal, layout and case are those of the mention; country codes and a card's first digit stay, and
 a card number that passes the Luhn test gets one that passes; addresses lie in domains reserved for examples; a given
 name is replaced by one of the same gender (told by the title) and script, a surname by one in the same script.
+Where a space is too small for a corpus, later attempts widen it: made-up names get more syllables and stand in for given
+names when the list is used up, and e-mail addresses and secrets get more letters.
 
 Distinctness is checked on the whole corpus: the distinct entities form a table; entities whose surrogates coincide, or
 coincide with another real entity, are drawn anew, all but the least of them, until none is left. The usual case, no
@@ -28,6 +30,10 @@ from glyphmill.llm.common import free_name, let, materialise
 #: Default key; give your own, and keep it secret.
 KEY = "glyphmill-surrogates"
 MOST_ATTEMPTS = 50
+#: Attempts within the format (e-mail addresses, secrets) or the list (given names); later ones leave it.
+STRICT_ATTEMPTS = 3
+#: Syllables that later attempts add to a name, at most: 20**12 names, none longer than the pattern of names takes.
+MORE_SYLLABLES = 9
 
 #: Titles and given names by gender; names by script.
 TITLES = {
@@ -146,23 +152,32 @@ def _card(canon: Column, b: Column) -> Column:
     return F.array_join(F.transform(let(old, checked), lambda d: d.cast("string")), "")
 
 
-def _email(canon: Column, b: Column) -> Column:
+def _more(b: Column, attempt: Column) -> Column:
+    """Letters that make the space larger: none at first, then one more an attempt."""
+    letter = lambda k: _pick(tuple("abcdefghijklmnopqrstuvwxyz"), F.get(b, (k + 31) % 64))
+    n = attempt - (STRICT_ATTEMPTS - 1)
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), letter), "")).otherwise(F.lit(""))
+
+
+def _email(canon: Column, b: Column, attempt: Column) -> Column:
     local = F.substring_index(canon, "@", 1)
     labels = F.split(F.substring_index(canon, "@", -1), "\\.")
     front = F.when(F.size(labels) > 2, F.concat(F.array_join(F.slice(labels, F.lit(1), F.size(labels) - 2), "."), F.lit("."))).otherwise(F.lit(""))
-    return F.concat(_masked(F.concat(local, F.lit("@"), front), b), F.lit("example."), _pick(("com", "net", "org"), F.get(b, F.lit(63))))
+    return F.concat(_more(b, attempt), _masked(F.concat(local, F.lit("@"), front), b), F.lit("example."), _pick(("com", "net", "org"), F.get(b, F.lit(63))))
 
 
-def _name(canon: Column, b: Column) -> Column:
+def _name(canon: Column, b: Column, attempt: Column) -> Column:
     gender, name = F.substring(canon, 1, 1), F.substring(canon, 3, 1000)
     words = F.split(name, " ")
 
     def made(script: str) -> Column:
         given = F.when(gender == "f", _pick(GIVEN["f", script], F.get(b, F.lit(0)))).otherwise(_pick(GIVEN["m", script], F.get(b, F.lit(0))))
-        surname = F.concat(*(_pick(SYLLABLES[script], F.get(b, F.lit(k))) for k in (1, 2, 3)))
+        syllable = lambda k: _pick(SYLLABLES[script], F.get(b, k))
+        longer = F.array_join(F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.least(attempt, F.lit(MORE_SYLLABLES)) + 3)), syllable), "")
+        surname = F.concat(*(syllable(F.lit(k)) for k in (1, 2, 3)), F.when(attempt > 0, longer).otherwise(F.lit("")))
         more = F.when(F.size(words) > 1, F.concat(F.lit(" "), surname)).otherwise(F.lit(""))
         known = F.get(words, 0).isin(*(n.lower() for (_, s), names in GIVEN.items() if s == script for n in names))
-        return F.lower(F.when((F.size(words) > 1) | known, F.concat(given, more)).otherwise(surname))
+        return F.lower(F.when((F.size(words) > 1) | (known & (attempt < STRICT_ATTEMPTS)), F.concat(given, more)).otherwise(surname))
 
     return F.concat(gender, F.lit(":"), F.when(F.regexp_like(name, F.lit(r"^\p{IsCyrillic}")), made("cyrillic")).otherwise(made("latin")))
 
@@ -175,7 +190,8 @@ def core(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
         phone = F.concat(F.substring_index(canon, "+", 1), F.lit("+"), F.substring(number, F.lit(1), code), _masked(F.substring(number, code + 1, F.lit(32)), b))
         ip = F.concat_ws(".", *((F.get(b, F.lit(k)) % 254 + 1).cast("string") for k in range(4)))
         plain = F.when(canon.startswith("AKIA"), F.concat(F.lit("AKIA"), _masked(F.substring(canon, 5, 1000), b))).otherwise(_masked(canon, b, F.regexp_like(canon, F.lit("^[0-9a-f]+$"))))
-        return F.when(kind == "email", _email(canon, b)).when(kind == "phone", phone).when(kind == "card", _card(canon, b)).when(kind == "ip", ip).when(kind == "name", _name(canon, b)).otherwise(plain)
+        plain = F.when(F.regexp_like(canon, F.lit("^AKIA[0-9A-Z]{16}$")), plain).otherwise(F.concat(plain, _more(b, attempt)))
+        return F.when(kind == "email", _email(canon, b, attempt)).when(kind == "phone", phone).when(kind == "card", _card(canon, b)).when(kind == "ip", ip).when(kind == "name", _name(canon, b, attempt)).otherwise(plain)
 
     return let(_bytes(key, kind, canon, attempt), of)
 

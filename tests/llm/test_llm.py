@@ -388,6 +388,24 @@ def test_pii_collisions(spark, monkeypatch):
     assert original is not few
 
 
+def test_pii_spaces_grow(spark, monkeypatch):
+    """More names, short addresses and blank secrets than the lists and formats hold: all entities get distinct surrogates."""
+    monkeypatch.setattr(pii, "MOST_ATTEMPTS", 12)
+    lists = {"Miss": pii.GIVEN["f", "latin"], "Mr": pii.GIVEN["m", "latin"], "Госпожа": pii.GIVEN["f", "cyrillic"], "Господин": pii.GIVEN["m", "cyrillic"]}
+    lone = [f"{title} {n}" for title, names in lists.items() for n in names]
+    letters = "abcdefghijklmnopqrst"
+    surnames = [f"Mr {a.upper()}{b}{c}{d}" for a in letters for b in letters for c in letters for d in "xz"][:9000]
+    mails = [f"{c}@host{i}.com" for i in range(10) for c in letters]
+    all_of = {"name": lone + surnames, "email": mails, "secret": ["token=________", "token=--------"]}
+    rows = [(i, " ; ".join(x[k : k + 100])) for i, (x, k) in enumerate((x, k) for x in all_of.values() for k in range(0, len(x), 100))]
+    new = [m for r in sorted(pii.replace(table(spark, rows)).collect()) for m in r["text"].split(" ; ")]
+    old = [m for x in all_of.values() for m in x]
+    assert len(new) == len(old) == len(set(new)) and not set(new) & set(old)
+    kind = {m: k for k, x in all_of.items() for m in x}
+    assert all(re.fullmatch(r"(\S+) [^\W\d_]{2,41}", n)[1] == o.split(" ")[0] for o, n in zip(old, new) if kind[o] == "name")
+    assert all(re.fullmatch(r"[A-Za-z0-9]+@example\.(com|net|org)", n) for o, n in zip(old, new) if kind[o] == "email")
+
+
 # --- Pipeline -----------------------------------------------------------------------------------------------------------
 
 
