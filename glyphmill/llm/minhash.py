@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import free_name, map_rows, materialise
@@ -80,22 +80,27 @@ def _fingerprint(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def _text_key(text_col: str) -> Column:
+    """128 bits that tell the texts of rows with the same doc_id apart."""
+    return F.unhex(F.md5(F.col(text_col).cast("binary")))
+
+
 def sketched(docs: DataFrame, n_words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, sig, sketch of each row (sig and sketch null without words)."""
-    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    """doc_id, n_shingles, sig, sketch, text_key of each row (sig and sketch null without words)."""
+    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key"))
 
     def make():
-        def f(ids, texts):
+        def f(ids, texts, keys):
             out = []
-            for i, t in zip(ids, texts):
+            for i, t, key in zip(ids, texts, keys):
                 s = shingles(t, n_words)
                 some = len(s) > 0
-                out.append({"doc_id": i, "n_shingles": len(s), "sig": _fingerprint(s) if some else None, "sketch": sketch(s).tobytes() if some else None})
+                out.append({"doc_id": i, "n_shingles": len(s), "sig": _fingerprint(s) if some else None, "sketch": sketch(s).tobytes() if some else None, "text_key": key})
             return out
 
         return f
 
-    return map_rows(d, ["doc_id", "text"], "r", "struct<doc_id: bigint, n_shingles: bigint, sig: binary, sketch: binary>", make, keep=False, owner="words").select("r.*")
+    return map_rows(d, ["doc_id", "text", "text_key"], "r", "struct<doc_id: bigint, n_shingles: bigint, sig: binary, sketch: binary, text_key: binary>", make, keep=False, owner="words").select("r.*")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -188,6 +193,11 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row (see the module's text)."""
+    return _judged(docs, n_words, percent, id_col, text_col).drop("text_key")
+
+
+def _judged(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``classes`` with the text_key of each row."""
     rows = materialise(sketched(docs, n_words, id_col, text_col), "sketches")
     sets = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     band = lambda b: F.xxhash64(b, F.substring("sketch", F.lit(1) + b * (2 * ROWS), F.lit(2 * ROWS)))
@@ -215,13 +225,13 @@ def classes(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str =
     labels = sets.select("sig", "doc_id").join(comp.withColumnRenamed("vertex", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "doc_id")
     least = labels.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_sig = labels.join(least, "root").select("sig", "component_id")
-    out = rows.select("doc_id", "n_shingles", "sig").join(by_sig, "sig", "left")
+    out = rows.select("doc_id", "n_shingles", "sig", "text_key").join(by_sig, "sig", "left")
     component = F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def deduplicate(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document is the least of its component."""
-    gone = free_name(docs, "gone_id")
-    removed = classes(docs, n_words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(removed, F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")
+    """The rows of ``docs`` that ``classes`` keeps. Rows with the same doc_id go or stay each by its own text."""
+    gone, key = free_name(docs, "gone_id"), free_name(docs, "gone_key")
+    removed = _judged(docs, n_words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(gone), F.col("text_key").alias(key)).distinct()
+    return docs.join(removed, F.col(id_col).eqNullSafe(F.col(gone)) & _text_key(text_col).eqNullSafe(F.col(key)), "left_anti")

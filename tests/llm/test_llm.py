@@ -256,6 +256,13 @@ def test_classes_edge_cases(spark):
     assert Counter(tuple(r) for r in got) == Counter([(None, 1, 4, False), (4, 1, 4, True), (None, 1, None, True), (None, 0, None, True)])
 
 
+def test_deduplicate_judges_rows_by_their_texts(spark):
+    rows = [(3, "x y z"), (4, "a b c"), (None, "a b c"), (None, "only here"), (7, "X y  z"), (7, "unique text here"), (None, None), (8, None)]
+    d = table(spark, [(i, t, k) for k, (i, t) in enumerate(rows)], ", gone_id int")
+    kept = minhash.deduplicate(d, 3, 85)
+    assert kept.columns == d.columns and sorted(r["gone_id"] for r in kept.collect()) == [0, 1, 3, 5, 6, 7]
+
+
 def test_links_do_not_depend_on_leaders(spark):
     """A chain in which neighbours are alike and ends are not."""
     base = [f"w{i}" for i in range(60)]
