@@ -201,7 +201,8 @@ def _judged(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col:
     rows = materialise(sketched(docs, n_words, id_col, text_col), "sketches")
     sets = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     band = lambda b: F.xxhash64(b, F.substring("sketch", F.lit(1) + b * (2 * ROWS), F.lit(2 * ROWS)))
-    buckets = sets.select("sig", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
+    # Classes without a doc_id are linked with nothing: they must not lead a bucket either, or its members would not meet.
+    buckets = sets.where("doc_id is not null").select("sig", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
     # Crowding of a class: the sizes of its buckets, summed. The most crowded class leads a bucket.
     crowded = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     met = materialise(buckets.join(crowded, "bucket").select("bucket", "sig", "n", "size"), "buckets")
@@ -210,7 +211,7 @@ def _judged(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col:
     leaders = met.groupBy("bucket").agg(F.max(F.struct("weight", "sig", "n")).alias("lead"))
     stars = materialise(met.join(leaders, "bucket").where("sig <> lead.sig").select(F.col("sig").alias("u"), F.col("lead.sig").alias("v"), F.col("n").alias("n_u"), F.col("lead.n").alias("n_v")).distinct(), "stars")
     ends = stars.select(F.col("u").alias("sig")).unionByName(stars.select(F.col("v").alias("sig"))).distinct()
-    wanted = sets.join(ends, "sig", "left_semi").select("doc_id", "sig").where("doc_id is not null")
+    wanted = sets.join(ends, "sig", "left_semi").select("doc_id", "sig")
     full = materialise(_sets(docs, wanted, n_words, id_col, text_col), "sets")
     links = materialise(_verify(stars.where(_alike(percent)), full, percent), "links")
     comp = components(links)

@@ -271,6 +271,18 @@ def test_links_do_not_depend_on_leaders(spark):
     assert Counter(tuple(r) for r in got) == slow_classes(rows, 3, 85) and {r["component_id"] for r in got} == {0}
 
 
+def test_classes_without_id_do_not_lead(spark):
+    """A and B are alike, and a near copy without doc_id is in every bucket that they share."""
+    rows = []
+    for k in range(6):
+        base = " ".join(f"w{k}x{i}" for i in range(60))
+        rows += [(2 * k, f"{base} a{k}"), (2 * k + 1, f"{base} b{k}"), (None, f"{base} a{k} b{k}")]
+    got = Counter(tuple(r) for r in minhash.classes(table(spark, rows), 1, 85).collect())
+    want = Counter((i, 61, i // 2 * 2, i % 2 == 0) for i in range(12))
+    want[None, 62, None, True] = 6
+    assert got == want
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(3)
     for shared in (50, 180):
