@@ -58,7 +58,7 @@ _TITLE = "|".join(t for group in TITLES.values() for t in group)
 #: Types in the order in which they are tried at a place. Possessive or bounded repeats: linear time on long runs.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|pwd|secret|token|api[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/\-]{6,512}|(?=[0-9A-Fa-f]{0,31}[0-9])[0-9A-Fa-f]{32,128}(?![A-Za-z0-9]))",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|pwd|secret|token|api[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/\-]{6,}+|(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9]))",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "phone": rf"\+\d{{1,3}}{_GAP}\(?\d{{2,4}}\)?{_GAP}\d{{3,4}}{_GAP}\d{{3,4}}(?!\d)",
     "card": r"(?<![\d.+])\d{4}(?:[ \-]?\d{4}){3}(?!\d)",
@@ -66,7 +66,7 @@ PATTERNS = {
 }
 UNION = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity.
-GATE = rf"[0-9@=:]|(?:{_TITLE})\.?[ ]\p{{Lu}}"
+GATE = rf"[0-9@=:]|AKIA|(?:{_TITLE})\.?[ ]\p{{Lu}}"
 
 
 def type_of(mention: Column) -> Column:
@@ -189,7 +189,7 @@ def core(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
         code, number = F.substring_index(canon, "+", 1).cast("int"), F.substring_index(canon, "+", -1)
         phone = F.concat(F.substring_index(canon, "+", 1), F.lit("+"), F.substring(number, F.lit(1), code), _masked(F.substring(number, code + 1, F.lit(32)), b))
         ip = F.concat_ws(".", *((F.get(b, F.lit(k)) % 254 + 1).cast("string") for k in range(4)))
-        plain = F.when(canon.startswith("AKIA"), F.concat(F.lit("AKIA"), _masked(F.substring(canon, 5, 1000), b))).otherwise(_masked(canon, b, F.regexp_like(canon, F.lit("^[0-9a-f]+$"))))
+        plain = F.when(canon.startswith("AKIA"), F.concat(F.lit("AKIA"), _masked(F.substring(canon, F.lit(5), F.length(canon)), b))).otherwise(_masked(canon, b, F.regexp_like(canon, F.lit("^[0-9a-f]+$"))))
         plain = F.when(F.regexp_like(canon, F.lit("^AKIA[0-9A-Z]{16}$")), plain).otherwise(F.concat(plain, _more(b, attempt)))
         return F.when(kind == "email", _email(canon, b, attempt)).when(kind == "phone", phone).when(kind == "card", _card(canon, b)).when(kind == "ip", ip).when(kind == "name", _name(canon, b, attempt)).otherwise(plain)
 

@@ -425,6 +425,19 @@ def test_pii_spaces_grow(spark, monkeypatch):
     assert all(re.fullmatch(r"[A-Za-z0-9]+@example\.(com|net|org)", n) for o, n in zip(old, new) if kind[o] == "email")
 
 
+def test_pii_long_secrets(spark):
+    """Secrets of any length go whole, and a key of letters only is seen."""
+    rng = random.Random(14)
+    word, digits = "".join(rng.choice("abcxyz0189") for _ in range(600)), "".join(rng.choice("0123456789abcdef") for _ in range(256))
+    key, late = "AKIA" + "".join(rng.choice("QWERTYUIOP") for _ in range(16)), "ab" * 20 + digits[:60] + "1"
+    rows = [(0, f"token={word} end"), (1, f"x {digits} end"), (2, f"x {key} end"), (3, f"x {late} end"), (4, f"password=AKIA{word * 3} end")]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(table(spark, rows)).collect()}
+    for i, t in rows:
+        old, new = re.search(r"[=x ]+(\w{20,}) end$", t)[1], re.search(r"[=x ]+(\w{20,}) end$", got[i])[1]
+        parts = {old[k : k + 12] for k in range(4, len(old) - 11)}
+        assert len(got[i]) == len(t) and not any(p in new for p in parts)
+
+
 # --- Pipeline -----------------------------------------------------------------------------------------------------------
 
 
