@@ -218,6 +218,13 @@ def within_distance_grouped(spark, sf_dir):
     return dic.within_distance_grouped(q, _dictionary(spark, sf_dir), 3).select("query", "dist", F.array_join("words", " ").alias("words"))
 
 
+# Over whole tables the SQL compares all pairs, too slow: no oracle, a test holds both against brute force.
+@query("within_distance_grouped_benchmark")
+def within_distance_grouped_benchmark(spark, sf_dir):
+    near = dic.within_distance_grouped(_asked(spark, sf_dir, "benchmark"), _dictionary(spark, sf_dir), 3)
+    return near.select("query", "dist", F.array_join("words", " ").alias("words"))
+
+
 _WORD = "[\\p{L}''-]+"
 
 
@@ -241,6 +248,12 @@ def spell_check(spark, sf_dir):
     return dic.spell_check(t, _dictionary(spark, sf_dir), 5, ("text_id",)).withColumn("corrections", F.array_join("corrections", " "))
 
 
+@query("spell_check_benchmark")
+def spell_check_benchmark(spark, sf_dir):
+    t = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return dic.spell_check(t, _dictionary(spark, sf_dir), 5, ("item_id",)).withColumn("corrections", F.array_join("corrections", " "))
+
+
 @query("correct_sentence", o.select(*_DICT, "pos AS (SELECT item_id, unnest(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS query, generate_subscripts(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1) AS k FROM benchmark)", f"q AS MATERIALIZED (SELECT DISTINCT query, {o.encode_all('query')} AS q FROM pos)", _PAIRS, "b AS (SELECT query, word FROM prs QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, idx) = 1)", "SELECT item_id, string_agg(coalesce(word, query), ' ' ORDER BY k) AS corrected FROM pos LEFT JOIN b USING (query) GROUP BY item_id"))
 def correct_sentence(spark, sf_dir):
     return dic.correct_sentence(table(spark, sf_dir, "benchmark"), _dictionary(spark, sf_dir), ("item_id",))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.operators import dictionary as dic
+from glyphmill.plans import catalog
 from glyphmill.sources import formats
 from glyphmill.streaming import ingest
 
@@ -70,6 +71,38 @@ def test_spell_check(spark):
         dic.spell_check(t, d, 0, ("id",))
 
 
+def slow_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_whole_tables_are_spell_checked(spark, tmp_path):
+    rng = random.Random(15)
+    make = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(2, 24)))
+    docs(spark, " ".join(make() for _ in range(60)), None).write.parquet(str(tmp_path / "documents.parquet"))
+    d = dic.dictionary(spark.read.parquet(str(tmp_path / "documents.parquet"))).orderBy("idx").collect()
+    known = [r["word"] for r in d]
+    texts = [(i, " ".join([make(), known[3 * i], known[i][:-1] + "d", make()])) for i in range(5)] + [(9, None), (10, "")]
+    spark.createDataFrame(texts, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    q = catalog.queries()
+    dist = {w: {k: slow_distance(w, k) for k in known} for _, t in texts for w in (t or "").split()}
+    near = {(w, n, " ".join(k for k in known if by[k] == n)) for w, by in dist.items() for n in set(by.values()) if n <= 3}
+    assert {tuple(r) for r in q["within_distance_grouped_benchmark"](spark, str(tmp_path)).collect()} == near
+    want = []
+    for i, t in texts:
+        at = 0
+        for w in (t or "").split():
+            least = min(dist[w].values())
+            fix = " ".join(k for k in known if dist[w][k] == least) if 0 < least <= 5 else ""
+            want.append((i, w, at, at + len(w), len(w), least == 0, fix))
+            at += len(w) + 1
+    assert sorted(tuple(r) for r in q["spell_check_benchmark"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_empty(spark):
     d = dic.dictionary(docs(spark).limit(0))
     assert d.count() == 0
