@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,24 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphmill.sources.storage import file_system, work_dir  # noqa: F401
+
 #: Words of every operator here: maximal runs of bytes outside space and U+0009..U+000D.
 #: ``bytes.split()`` without an argument splits at exactly these six characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the session names none (tests, one machine), a temporary folder is set once for the session.
-    """
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="glyphmill-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/glyphmill/{name}-{uuid.uuid4().hex}"
-
-
 #: Bytes of an Arrow batch while a table is written to the shared folder. Python sees two batches of a task at a time,
 #: and the JVM's buffers of one take several times its size.
 BATCH_BYTES = 8 << 20
@@ -47,17 +34,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def file_system(uri: str):
-    """(file system, path in it) of a location in the shared folder; any scheme that Arrow knows."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    if "://" not in uri:
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
-
-
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have yet, in any letter case."""
     taken = {c.lower() for c in df.columns}
@@ -142,6 +118,20 @@ def text_or_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Rows of a hot key that stay together in ``spread_join``: a key's rows are dealt to so many tasks.
+SALTS = 32
+
+
+def spread_join(df: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join on ``key`` with a table of one slim row a key, which is repeated ``SALTS`` times.
+
+    Rows of one key are dealt by ``by`` to as many tasks, so a key that holds a large share of ``df`` isn't one task's.
+    """
+    salt = free_name(df, "salt")
+    dealt = df.withColumn(salt, F.pmod(F.xxhash64(by, F.lit(29)), F.lit(SALTS)).cast("int"))
+    return dealt.join(small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, salt]).drop(salt)
+
+
 def let(value, body):
     """``body`` of a value that is computed once: a lambda variable stands for it.
 

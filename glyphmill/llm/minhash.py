@@ -18,9 +18,9 @@ the Jaccard similarity with Chernoff-style bounds at about n + SIZE log SIZE has
 5. Components of all links; each component is named by the least doc_id in it.
 
 Shingles are compared as 64-bit fingerprints. Documents without words are linked with nothing, not even with each
-other, and are kept. A null doc_id can't name a component; such a row gets the component of
-its class, while a class in which all ids are null is linked with no other, has a null component and is kept. Rows with the same doc_id are
-judged by their own texts. Empty tables give empty results.
+other, and are kept. Rows without doc_id are linked like others, but can't name a component: it has the least id that there
+is, and is null and kept where there is none. Rows with the same doc_id are judged by their own texts. Empty tables give
+empty results. Columns of any other name may be there; only id and text are read.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import free_name, map_rows, materialise
+from glyphmill.llm.common import free_name, map_rows, materialise, spread_join
 from glyphmill.llm.components import components
 from glyphmill.llm.words import mix, window_hashes, word_hashes
 
@@ -104,8 +104,9 @@ def sketched(docs: DataFrame, n_words: int, id_col: str, text_col: str) -> DataF
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(sig, hashes) of the wanted classes (doc_id, sig): full sets from the texts of one document of each."""
-    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id")
+    """(sig, hashes) of the wanted classes (doc_id, text_key, sig): full sets from the text of one row of each."""
+    d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), _text_key(text_col).alias("key"))
+    d = d.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).select("sig", "text")
 
     def make():
         def f(sigs, texts):
@@ -145,24 +146,26 @@ def _alike(percent: int):
     return F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
+def _across(members: DataFrame, sets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between members of one leader that are in different components, on the full sets.
 
-    members: (leader, sig, n, sketch, hashes, comp). Only members outside the leader's component have to be compared,
-    with all members: blocks of the former times blocks of the latter. A block tests pairs by their sketches, then by
-    their sets, and reports a link for each pair of a member and a component at most.
+    members: (leader, sig, comp). Only members outside the leader's component have to be compared, with all members:
+    blocks of the former times blocks of the latter. A block tests pairs by their sketches, then by their sets, and
+    reports a link for each pair of a member and a component at most. Rows are slim until they are dealt to blocks;
+    each block is a key of its own in the last shuffle, so a leader's blocks lie in many tasks.
     """
     own = members.where("sig = leader").select("leader", F.col("comp").alias("home"))
-    m = members.join(own, "leader")
+    m = spread_join(members.join(sets.select("sig", "n"), "sig"), own, "leader", "sig")
     away = F.when(F.col("comp") != F.col("home"), F.col("n"))
     sizes = m.groupBy("leader").agg(F.sum("n").alias("all"), F.sum(away).alias("out")).where("out > 0")
-    m = m.join(sizes, "leader")
+    m = materialise(spread_join(m, sizes, "leader", "sig"), "members")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK_SHINGLES).cast("bigint")
     place = lambda c: F.pmod(F.xxhash64("sig"), blocks(c))
     all_of = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(c) - 1))
-    rest = ("sig", "n", "sketch", "hashes", "comp")
-    left = m.where("comp <> home").select("leader", place("out").alias("i"), all_of("all").alias("j"), F.lit(True).alias("asks"), *rest)
-    right = m.select("leader", all_of("out").alias("i"), place("all").alias("j"), F.lit(False).alias("asks"), *rest)
+    left = m.where("comp <> home").select("leader", place("out").alias("i"), all_of("all").alias("j"), F.lit(True).alias("asks"), "sig", "n", "comp")
+    right = m.select("leader", all_of("out").alias("i"), place("all").alias("j"), F.lit(False).alias("asks"), "sig", "n", "comp")
+    heavy = full.join(sets.select("sig", "sketch"), "sig")
+    dealt = left.unionByName(right).join(heavy, "sig").repartition("leader", "i", "j")
     least = percent / 100 - 6 * np.sqrt(percent / 100 * (1 - percent / 100) / SIZE)
 
     def compare(group: pa.Table) -> pa.Table:
@@ -188,21 +191,21 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
                     vs.append(min(sig[x], sig[y]))
         return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
 
-    return left.unionByName(right).groupBy("leader", "i", "j").applyInArrow(compare, "u binary, v binary").distinct()
+    return dealt.groupBy("leader", "i", "j").applyInArrow(compare, "u binary, v binary").distinct()
 
 
 def classes(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row (see the module's text)."""
-    return _judged(docs, n_words, percent, id_col, text_col).drop("text_key")
+    return _judged(docs, n_words, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _judged(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """``classes`` with the text_key of each row."""
+    """``classes`` with each row's text_key and whether its id and text are those of the row that stays for its component."""
     rows = materialise(sketched(docs, n_words, id_col, text_col), "sketches")
-    sets = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    sets = rows.where("sig is not null").groupBy("sig").agg(F.min(first).alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     band = lambda b: F.xxhash64(b, F.substring("sketch", F.lit(1) + b * (2 * ROWS), F.lit(2 * ROWS)))
-    # Classes without a doc_id are linked with nothing: they must not lead a bucket either, or its members would not meet.
-    buckets = sets.where("doc_id is not null").select("sig", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
+    buckets = sets.select("sig", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
     # Crowding of a class: the sizes of its buckets, summed. The most crowded class leads a bucket.
     crowded = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     met = materialise(buckets.join(crowded, "bucket").select("bucket", "sig", "n", "size"), "buckets")
@@ -211,7 +214,7 @@ def _judged(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col:
     leaders = met.groupBy("bucket").agg(F.max(F.struct("weight", "sig", "n")).alias("lead"))
     stars = materialise(met.join(leaders, "bucket").where("sig <> lead.sig").select(F.col("sig").alias("u"), F.col("lead.sig").alias("v"), F.col("n").alias("n_u"), F.col("lead.n").alias("n_v")).distinct(), "stars")
     ends = stars.select(F.col("u").alias("sig")).unionByName(stars.select(F.col("v").alias("sig"))).distinct()
-    wanted = sets.join(ends, "sig", "left_semi").select("doc_id", "sig")
+    wanted = sets.join(ends, "sig", "left_semi").select("first.doc_id", "first.text_key", "sig")
     full = materialise(_sets(docs, wanted, n_words, id_col, text_col), "sets")
     links = materialise(_verify(stars.where(_alike(percent)), full, percent), "links")
     comp = components(links)
@@ -219,20 +222,33 @@ def _judged(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col:
     named = members.join(comp.withColumnRenamed("vertex", "sig"), "sig", "left").select("leader", "sig", F.coalesce("root", "sig").alias("comp"))
     # Leaders all of whose members are in one component need no second look.
     split = named.groupBy("leader").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("leader")
-    again = named.join(split, "leader", "left_semi").join(sets.select("sig", "n", "sketch"), "sig").join(full, "sig")
-    extra = materialise(_across(again, percent), "more-links")
+    extra = materialise(_across(spread_join(named, split, "leader", "sig"), sets, full, percent), "more-links")
     if not extra.isEmpty():
         comp = components(links.unionByName(extra))
-    labels = sets.select("sig", "doc_id").join(comp.withColumnRenamed("vertex", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "doc_id")
-    least = labels.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_sig = labels.join(least, "root").select("sig", "component_id")
+    labels = sets.select("sig", "first").join(comp.withColumnRenamed("vertex", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "first")
+    least = labels.groupBy("root").agg(F.min("first").alias("first"))
+    by_sig = labels.drop("first").join(least, "root").select("sig", "first")
     out = rows.select("doc_id", "n_shingles", "sig", "text_key").join(by_sig, "sig", "left")
-    component = F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    component = F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    stays = F.col("sig").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
+    judged = out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key", F.col("sig").isNotNull().alias("some"), stays.alias("stays"))
+    return judged.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def deduplicate(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``classes`` keeps. Rows with the same doc_id go or stay each by its own text."""
+    """``docs`` with one row of each component: that of the least doc_id (null ids last), then of the least text digest.
+
+    Rows are told apart by id and text, so rows with the same id go or stay each by its own text. Of rows equal in both,
+    one stays, whatever their other columns hold. Rows without words are copies of nothing and all stay.
+    """
     gone, key = free_name(docs, "gone_id"), free_name(docs, "gone_key")
-    removed = _judged(docs, n_words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(gone), F.col("text_key").alias(key)).distinct()
-    return docs.join(removed, F.col(id_col).eqNullSafe(F.col(gone)) & _text_key(text_col).eqNullSafe(F.col(key)), "left_anti")
+    named = (F.col("doc_id").alias(gone), F.col("text_key").alias(key))
+    judged = materialise(_judged(docs, n_words, percent, id_col, text_col).where("some").select("doc_id", "text_key", "stays"), "verdicts")
+    removed = judged.where("not stays").select(*named).distinct()
+    again = judged.where("stays").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select(*named)
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col(gone)) & (_text_key(text_col) == F.col(key))
+    if again.isEmpty():
+        return docs.join(removed, same, "left_anti")
+    single = docs.join(removed.unionByName(again), same, "left_anti")
+    one = docs.join(again, same, "left_semi").withColumn(key, _text_key(text_col)).dropDuplicates([id_col, key]).drop(key)
+    return single.unionByName(one)

@@ -248,6 +248,7 @@ def test_classes(spark, n, percent):
     assert Counter(tuple(r) for r in got) == slow_classes(ROWS, n, percent)
     kept = minhash.deduplicate(d, n, percent)
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got if r["kept"]}
+    assert len(kept.collect()) == len({r["component_id"] for r in got})
 
 
 def test_classes_edge_cases(spark):
@@ -256,11 +257,19 @@ def test_classes_edge_cases(spark):
     assert Counter(tuple(r) for r in got) == Counter([(None, 1, 4, False), (4, 1, 4, True), (None, 1, None, True), (None, 0, None, True)])
 
 
-def test_deduplicate_judges_rows_by_their_texts(spark):
-    rows = [(3, "x y z"), (4, "a b c"), (None, "a b c"), (None, "only here"), (7, "X y  z"), (7, "unique text here"), (None, None), (8, None)]
-    d = table(spark, [(i, t, k) for k, (i, t) in enumerate(rows)], ", gone_id int")
-    kept = minhash.deduplicate(d, 3, 85)
-    assert kept.columns == d.columns and sorted(r["gone_id"] for r in kept.collect()) == [0, 1, 3, 5, 6, 7]
+@pytest.mark.parametrize(
+    "rows, kept",
+    [
+        ([(3, "x y z"), (4, "a b c"), (None, "a b c"), (None, "only here"), (7, "X y  z"), (7, "unique text here"), (None, None), (8, None)], [0, 1, 3, 5, 6, 7]),
+        ([(None, "a b c d e f"), (4, "a b c d e f"), (None, "only here"), (None, None)], [1, 2, 3]),
+        ([(1, "a b c d"), (4, "a b c d"), (4, "quite another text")], [0, 2]),
+        ([(1, "a b c d"), (1, "a b c d"), (2, "A b c d"), (None, "p q r"), (None, "p q r"), (None, None), (None, None)], [0, 3, 5, 6]),
+    ],
+)
+def test_deduplicate_keeps_one_row_of_each_class(spark, rows, kept):
+    d = table(spark, [(i, t, k) for k, (i, t) in enumerate(rows)], ", gone_id int").coalesce(1)
+    got = minhash.deduplicate(d, 3, 85)
+    assert got.columns == d.columns and [tuple(rows[r["gone_id"]]) for r in got.orderBy("gone_id").collect()] == [tuple(rows[k]) for k in kept]
 
 
 def test_links_do_not_depend_on_leaders(spark):
@@ -271,16 +280,12 @@ def test_links_do_not_depend_on_leaders(spark):
     assert Counter(tuple(r) for r in got) == slow_classes(rows, 3, 85) and {r["component_id"] for r in got} == {0}
 
 
-def test_classes_without_id_do_not_lead(spark):
-    """A and B are alike, and a near copy without doc_id is in every bucket that they share."""
-    rows = []
-    for k in range(6):
-        base = " ".join(f"w{k}x{i}" for i in range(60))
-        rows += [(2 * k, f"{base} a{k}"), (2 * k + 1, f"{base} b{k}"), (None, f"{base} a{k} b{k}")]
-    got = Counter(tuple(r) for r in minhash.classes(table(spark, rows), 1, 85).collect())
-    want = Counter((i, 61, i // 2 * 2, i % 2 == 0) for i in range(12))
-    want[None, 62, None, True] = 6
-    assert got == want
+def test_classes_without_id_are_bridges(spark):
+    """A and B are alike only through a row without doc_id."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(base[: 60 - 4 * k] + [f"x{j}" for j in range(4 * k)])) for k in range(3)]
+    got = Counter(tuple(r) for r in minhash.classes(table(spark, [rows[0], (None, rows[1][1]), rows[2], (None, "p q r")]), 1, 85).collect())
+    assert got == Counter([(0, 60, 0, True), (None, 60, 0, False), (2, 60, 0, False), (None, 3, None, True)])
 
 
 def test_sketch_estimates():
