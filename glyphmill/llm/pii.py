@@ -1,11 +1,12 @@
 """Surrogates for personal data. DataFrame functions only.
 
-Detected are e-mail addresses, secrets (access keys, passwords, tokens, long hexadecimal strings), IPv4 addresses, telephone
-numbers, card numbers and names after a title. Each entity has a *canonical* form (case and layout dropped), and the
+Detected are e-mail addresses, secrets (access keys, whatever follows a keyword such as "password:" up to white space or a
+quote, long hexadecimal strings), account numbers (IBAN), IPv4 and IPv6 addresses, telephone numbers (international, or as
+written in the United States), social security numbers, card numbers and names after a title. Each entity has a *canonical* form (case and layout dropped), and the
 surrogate is a function of a key, the type and the canonical form: all mentions of an entity get the same one, in
 any document and layout (coreference). The surrogate keeps type and format: letters stay letters, digits digits,
-hexadecimal stays hexadecimal, layout and case are those of the mention; country codes and a card's first digit stay, and
-a card number that passes the Luhn test gets one that passes; addresses lie in domains reserved for examples; a given
+hexadecimal stays hexadecimal, layout and case are those of the mention; country codes and a card's first digit stay,
+a card number that passes the Luhn test gets one that passes, an account number gets its check digits; addresses lie in domains reserved for examples; a given
 name is replaced by one of the same gender (told by the title) and script, a surname by one in the same script.
 Where a space is too small for a corpus, later attempts widen it: made-up names get more syllables and stand in for given
 names when the list is used up, and e-mail addresses and secrets get more letters.
@@ -15,7 +16,9 @@ coincide with another real entity, are drawn anew, all but the least of them, un
 collision, needs no join with the texts. Otherwise the exceptional surrogates go to the documents that mention them
 by a join on the document id, which Spark broadcasts only if they are small.
 
-Null text stays null and has no entities. Repeated rows and null ids are fine: replacement is row-wise.
+Null text stays null and has no entities. Repeated rows and null ids are fine: replacement is row-wise. An empty table
+gives an empty table; columns of any name are carried along. Mentions have no greatest length, and no pattern goes back
+over a run it has read, so a text of a megabyte takes linear time whatever it holds.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ KEY = "glyphmill-surrogates"
 MOST_ATTEMPTS = 50
 #: Attempts within the format (e-mail addresses, secrets) or the list (given names); later ones leave it.
 STRICT_ATTEMPTS = 3
-#: Syllables that later attempts add to a name, at most: 20**12 names, none longer than the pattern of names takes.
+#: Syllables that later attempts add to a name, at most: 20**12 names.
 MORE_SYLLABLES = 9
 
 #: Titles and given names by gender; names by script.
@@ -54,15 +57,22 @@ SYLLABLES = {
 
 _GAP = r"[ .\-#*$%&|<>!]{0,6}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX4 = "[0-9A-Fa-f]{1,4}"
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
-#: Types in the order in which they are tried at a place. Possessive or bounded repeats: linear time on long runs.
+_KEYWORD = r"(?i:password|passwd|pwd|secret|token|api[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+#: A name's word: Smith, McDonald, O'Brien, Smith-Jones.
+_WORD = r"\p{Lu}['’]?\p{Lu}?\p{Ll}++(?:['’\-]?\p{Lu}\p{Ll}++)*+"
+#: Types in the order in which they are tried at a place. Repeats are possessive or bounded: no way back, no recursion.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|pwd|secret|token|api[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/\-]{6,}+|(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9]))",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++",
+    "secret": rf"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])|{_KEYWORD}[^\s\"']{{6,}}+|(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{{32,}}+(?![A-Za-z0-9]))",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "phone": rf"\+\d{{1,3}}{_GAP}\(?\d{{2,4}}\)?{_GAP}\d{{3,4}}{_GAP}\d{{3,4}}(?!\d)",
-    "card": r"(?<![\d.+])\d{4}(?:[ \-]?\d{4}){3}(?!\d)",
-    "name": rf"(?<![\p{{L}}\d])(?:{_TITLE})\.?[ ]\p{{Lu}}\p{{Ll}}{{1,40}}(?:[ ]\p{{Lu}}\p{{Ll}}{{1,40}})?(?!\p{{L}})",
+    "ip6": rf"(?<![\w:.])(?:(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HEX4}:){{1,6}}(?::{_HEX4}){{1,6}})(?![\w:])",
+    "phone": rf"\+\d{{1,3}}{_GAP}\(?\d{{2,4}}\)?{_GAP}\d{{3,4}}{_GAP}\d{{3,4}}(?!\d)|(?<![\w.+\-])(?:\(\d{{3}}\)[ ]?|\d{{3}}[\-.])\d{{3}}[\-.]\d{{4}}(?![\w\-]|\.\d)",
+    "ssn": r"(?<![\w\-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w\-])",
+    "card": r"(?<![\d.+])(?:\d{4}(?:[ \-]?\d{4}){3}|3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5})(?!\d)",
+    "name": rf"(?<![\p{{L}}\d])(?:{_TITLE})\.?[ ]{_WORD}(?:[ ]{_WORD})?(?!\p{{L}})",
 }
 UNION = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity.
@@ -78,8 +88,10 @@ def type_of(mention: Column) -> Column:
 
 
 def _value(mention: Column, kind: Column) -> Column:
-    """The part of a mention that is replaced: without keyword or title."""
-    return F.when(kind == "secret", F.regexp_extract(mention, "([A-Za-z0-9_+/\\-]+)$", 1)).when(kind == "name", F.regexp_replace(mention, rf"^(?:{_TITLE})\.?[ ]", "")).otherwise(mention)
+    """The part of a mention that is replaced: without keyword or title, and without the punctuation after a secret."""
+    bare = F.regexp_replace(mention, f"^{_KEYWORD}", "")
+    ended = F.regexp_replace(bare, r"(?<![.,;:!?)\]}>])[.,;:!?)\]}>]++$", "")
+    return F.when(kind == "secret", F.when(ended == "", bare).otherwise(ended)).when(kind == "name", F.regexp_replace(mention, rf"^(?:{_TITLE})\.?[ ]", "")).otherwise(mention)
 
 
 def _gender(mention: Column) -> Column:
@@ -95,8 +107,10 @@ def canonical(mention: Column, kind: Column) -> Column:
     digits = F.regexp_replace(mention, "[^0-9]", "")
     code = F.length(F.regexp_extract(mention, "^\\+([0-9]{1,3})", 1)).cast("string")
     return (
-        F.when(kind == "phone", F.concat(code, F.lit("+"), digits))
-        .when(kind == "card", digits)
+        F.when((kind == "phone") & mention.startswith("+"), F.concat(code, F.lit("+"), digits))
+        .when(kind == "phone", F.concat(F.lit("1+1"), digits))
+        .when(kind.isin("card", "ssn"), digits)
+        .when(kind == "iban", F.regexp_replace(mention, " ", ""))
         .when(kind == "name", F.concat(_gender(mention), F.lit(":"), F.lower(v)))
         .when((kind == "secret") & ~F.regexp_like(v, F.lit("^[0-9A-Fa-f]+$")), v)
         .otherwise(F.lower(v))
@@ -107,25 +121,43 @@ def _bytes(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """64 keyed bytes."""
     inner = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, attempt.cast("string"), canon), 256)
     outer = F.sha2(F.concat(F.lit(key), inner), 512)
-    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(outer, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    return let(outer, lambda o: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(o, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
 
 
 def _pick(values: tuple[str, ...], n: Column) -> Column:
-    return F.get(F.array(*map(F.lit, values)), (n % len(values)).cast("int"))
+    return F.get(F.split(F.lit(",".join(values)), ","), (n % len(values)).cast("int"))
 
 
-def _masked(value: Column, b: Column, hexadecimal: Column | None = None) -> Column:
-    """Letters for letters, digits for digits (or hexadecimal for hexadecimal)."""
+def _masked(value: Column, b: Column) -> Column:
+    """Letters for letters, digits for digits."""
 
     def one(c: Column, i: Column) -> Column:
-        n = F.get(b, i % 64) + i.cast("int").bitwiseAND(F.lit(0))
+        n = F.get(b, i % 64)
         at = lambda chars: F.substring(F.lit(chars), (n % len(chars)) + 1, F.lit(1))
-        out = F.when(c.between("0", "9"), at("0123456789")).when(c.between("a", "z"), at("abcdefghijklmnopqrstuvwxyz")).when(c.between("A", "Z"), at("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
-        return out if hexadecimal is None else F.when(hexadecimal, at("0123456789abcdef")).otherwise(out)
+        return F.when(c.between("0", "9"), at("0123456789")).when(c.between("a", "z"), at("abcdefghijklmnopqrstuvwxyz")).when(c.between("A", "Z"), at("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
+def _hexed(value: Column, b: Column) -> Column:
+    """Hexadecimal digits for hexadecimal digits; the rest stays."""
+    digit = lambda i: F.substring(F.lit("0123456789abcdef"), F.get(b, i % 64) % 16 + 1, F.lit(1))
+    return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(F.regexp_like(c, F.lit("^[0-9a-f]$")), digit(i)).otherwise(c)), "")
+
+
+def _mod97(text: Column) -> Column:
+    """Remainder of a string of digits and capitals, A being 10 and Z 35."""
+    step = lambda a, c: F.when(c.between("0", "9"), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), step)
+
+
+def _iban(canon: Column, b: Column) -> Column:
+    """The country stays, letters and digits of the account are drawn, the check digits follow from them."""
+    country = F.substring(canon, 1, 2)
+    finish = lambda own: F.concat(country, F.lpad((98 - _mod97(F.concat(own, country, F.lit("00")))).cast("string"), 2, "0"), own)
+    return let(_masked(F.substring(canon, F.lit(5), F.length(canon)), b), finish)
+
+
 def _luhn_sum(digits: Column) -> Column:
     """Luhn sum of an array of digits, the check digit last."""
     n = F.size(digits)
@@ -154,7 +186,7 @@ def _card(canon: Column, b: Column) -> Column:
 
 def _more(b: Column, attempt: Column) -> Column:
     """Letters that make the space larger: none at first, then one more an attempt."""
-    letter = lambda k: _pick(tuple("abcdefghijklmnopqrstuvwxyz"), F.get(b, (k + 31) % 64))
+    letter = lambda k: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.get(b, (k + 31) % 64) % 26 + 1, F.lit(1))
     n = attempt - (STRICT_ATTEMPTS - 1)
     return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), letter), "")).otherwise(F.lit(""))
 
@@ -167,7 +199,7 @@ def _email(canon: Column, b: Column, attempt: Column) -> Column:
 
 
 def _name(canon: Column, b: Column, attempt: Column) -> Column:
-    gender, name = F.substring(canon, 1, 1), F.substring(canon, 3, 1000)
+    gender, name = F.substring(canon, 1, 1), F.substring(canon, F.lit(3), F.length(canon))
     words = F.split(name, " ")
 
     def made(script: str) -> Column:
@@ -189,26 +221,37 @@ def core(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
         code, number = F.substring_index(canon, "+", 1).cast("int"), F.substring_index(canon, "+", -1)
         phone = F.concat(F.substring_index(canon, "+", 1), F.lit("+"), F.substring(number, F.lit(1), code), _masked(F.substring(number, code + 1, F.lit(32)), b))
         ip = F.concat_ws(".", *((F.get(b, F.lit(k)) % 254 + 1).cast("string") for k in range(4)))
-        plain = F.when(canon.startswith("AKIA"), F.concat(F.lit("AKIA"), _masked(F.substring(canon, F.lit(5), F.length(canon)), b))).otherwise(_masked(canon, b, F.regexp_like(canon, F.lit("^[0-9a-f]+$"))))
+        plain = F.when(canon.startswith("AKIA"), F.concat(F.lit("AKIA"), _masked(F.substring(canon, F.lit(5), F.length(canon)), b))).when(F.regexp_like(canon, F.lit("^[0-9a-f]++$")), _hexed(canon, b)).otherwise(_masked(canon, b))
         plain = F.when(F.regexp_like(canon, F.lit("^AKIA[0-9A-Z]{16}$")), plain).otherwise(F.concat(plain, _more(b, attempt)))
-        return F.when(kind == "email", _email(canon, b, attempt)).when(kind == "phone", phone).when(kind == "card", _card(canon, b)).when(kind == "ip", ip).when(kind == "name", _name(canon, b, attempt)).otherwise(plain)
+        return (
+            F.when(kind == "email", _email(canon, b, attempt)).when(kind == "phone", phone).when(kind == "card", _card(canon, b)).when(kind == "ip", ip).when(kind == "ip6", _hexed(canon, b))
+            .when(kind == "iban", _iban(canon, b)).when(kind == "ssn", _masked(canon, b)).when(kind == "name", _name(canon, b, attempt)).otherwise(plain)
+        )
 
     return let(_bytes(key, kind, canon, attempt), of)
 
 
 def render(mention: Column, kind: Column, surrogate: Column) -> Column:
     """A surrogate in the layout and case of the mention."""
-    digits = F.when(kind == "phone", F.substring_index(surrogate, "+", -1)).otherwise(surrogate)
+    number = F.substring_index(surrogate, "+", -1)
+    # A telephone number without country code shows the digits after it.
+    signs = F.when((kind == "phone") & ~mention.startswith("+"), F.substring(number, F.lit(2), F.length(number))).otherwise(number)
+    own = lambda c: c.between("0", "9") | ((kind == "iban") & c.between("A", "Z"))
     laid = F.aggregate(
         F.split(mention, ""),
         F.struct(F.lit("").alias("s"), F.lit(0).alias("k")),
-        lambda a, c: F.when(c.between("0", "9"), F.struct(F.concat(a["s"], F.substring(digits, a["k"] + 1, F.lit(1))).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k"))),
+        lambda a, c: F.when(own(c), F.struct(F.concat(a["s"], F.substring(signs, a["k"] + 1, F.lit(1))).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k"))),
         lambda a: a["s"],
     )
-    v = _value(mention, kind)
-    plain = F.when(kind == "name", F.initcap(F.substring(surrogate, 3, 1000))).otherwise(surrogate)
-    cased = F.when((F.upper(v) == v) & (F.lower(v) != v) & (kind != "name"), F.upper(plain)).otherwise(plain)
-    return F.when(kind.isin("phone", "card"), laid).otherwise(F.concat(F.substring(mention, F.lit(1), F.length(mention) - F.length(v)), cased))
+
+    def around(v: Column) -> Column:
+        plain = F.when(kind == "name", F.initcap(F.substring(surrogate, F.lit(3), F.length(surrogate)))).otherwise(surrogate)
+        cased = F.when((F.upper(v) == v) & (F.lower(v) != v) & (kind != "name"), F.upper(plain)).otherwise(plain)
+        # The value ends the mention but for a secret's punctuation.
+        at = F.length(mention) - F.when(kind == "secret", F.length(F.regexp_replace(mention, f"^{_KEYWORD}", ""))).otherwise(F.length(v))
+        return F.concat(F.substring(mention, F.lit(1), at), cased, F.substring(mention, at + F.length(v) + 1, F.length(mention)))
+
+    return F.when(kind.isin("phone", "card", "ssn", "iban"), laid).otherwise(let(_value(mention, kind), around))
 
 
 def mentions(text: Column) -> Column:
@@ -230,7 +273,7 @@ def exceptions(found: DataFrame, key: str = KEY) -> DataFrame | None:
     real = found.select("kind", F.col("canon").alias("surrogate"))
     pending, settled = found, None
     for attempt in range(MOST_ATTEMPTS):
-        cand = pending.select("kind", "canon", core(key, F.col("kind"), F.col("canon"), F.lit(attempt)).alias("surrogate"))
+        cand = materialise(pending.select("kind", "canon", core(key, F.col("kind"), F.col("canon"), F.lit(attempt)).alias("surrogate")), "pii-drawn")
         taken = real if settled is None else real.unionByName(settled.select("kind", "surrogate"))
         winners = cand.join(taken, ["kind", "surrogate"], "left_anti").groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
         good = winners.select("kind", "canon", "surrogate")
