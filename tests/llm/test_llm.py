@@ -341,25 +341,47 @@ def test_packing():
 # --- Native operators --------------------------------------------------------------------------------------------------
 
 
+def slow_licenses(text, templates):
+    own = {tuple(w[i : i + 5]) for w in [licenses.words_of(text or "")] for i in range(len(w) - 4)}
+    for name, t in templates.items():
+        w = licenses.words_of(t)
+        s = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        if len(s & own) / len(s) >= licenses.CONTAINMENT:
+            yield name, len(s & own) / len(s)
+
+
 def test_licenses(spark):
-    header = licenses.TEMPLATES["apache-2.0-header"]
-    edited_header = header.replace("governing permissions", "about permits")
-    rows = [(1, "x y " + header.upper() + " z"), (2, "Released under\nthe MIT  License."), (3, "released under the mit"), (4, None), (5, ""), (6, sentence(50) + " " + edited_header), (7, header[: len(header) // 2]), (None, "Licensed under CC BY-NC 4.0."), (2, "Released under the MIT License.")]
+    """Notices and full texts, whole, edited word by word down to the threshold and below, in long and repeated texts."""
+    rng, texts = random.Random(16), licenses.license_texts()
+    templates = texts | {"repeats": "q1 q2 q3 " * 40 + sentence(20, rng), "long repeats": "p1 p2 p3 p4 p5 p6 p7 " * 20 + " ".join(f"o{i}" for i in range(60))}
+    header = licenses.NOTICES["apache-2.0-header"]
+    rows = [(1, "x y " + header.upper() + " z"), (2, "Released under\nthe MIT  License."), (3, "released under the mit"), (4, None), (5, ""), (7, header[: len(header) // 2]), (None, "Licensed under CC BY-NC 4.0."), (2, "Released under the MIT License."), (8, " ".join(f"w{i}" for i in range(30_000)) + header)]
+    for name, text in templates.items():
+        for gap in (0, 60, 28, 24, 21, 12):
+            w = text.split()
+            for i in reversed(range(gap // 2, len(w) if gap else 0, gap or 1)):
+                w[i : i + 1] = rng.choice([["edited"], ["put", w[i]]] + ([[]] if gap > 24 else []))
+            rows.append((len(rows) + 10, f"{sentence(rng.randint(0, 30), rng)} {' '.join(w)} {sentence(9, rng)}"))
     d = table(spark, rows).withColumn("template", F.lit("clash"))
-
-    def slow(text):
-        own = {tuple(w[i : i + 5]) for w in [licenses.words_of(text or "")] for i in range(len(w) - 4)}
-        for name, t in licenses.TEMPLATES.items():
-            w = licenses.words_of(t)
-            s = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-            if len(s & own) / len(s) >= licenses.CONTAINMENT:
-                yield name, len(s & own) / len(s)
-
-    got = Counter(tuple(r) for r in licenses.matches(d).collect())
-    assert got == Counter((i, *m) for i, t in rows for m in slow(t)) and (1, "apache-2.0-header", 1.0) in got
-    assert licenses.matches(d.limit(0)).count() == 0
+    want = Counter((i, *m) for i, t in rows for m in slow_licenses(t, templates))
+    assert Counter(tuple(r) for r in licenses.matches(d, templates).collect()) == want and (1, "apache-2.0-header", 1.0) in want
+    assert licenses.matches(d.limit(0)).count() == 0 and licenses.matches(d, {}).count() == 0
     with pytest.raises(ValueError):
-        licenses.scan(d, {"tiny": "two words"})
+        licenses.matches(d, {"tiny": "two words"})
+
+
+def test_license_bands_follow_their_curve(spark):
+    """Share of windows with a common band, at several similarities."""
+    rng, rows = random.Random(18), []
+    for shared in (8, 7, 6, 4):
+        for k in range(400):
+            x = [rng.randrange(-(2**63), 2**63) for _ in range(16 - shared)]
+            rows.append((shared, x[:8], x[:shared] + x[8:]))
+    d = spark.createDataFrame(rows, "shared int, a array<bigint>, b array<bigint>")
+    keys = lambda c: licenses.window_keys(F.col(c), F.lit(0))
+    for r in d.groupBy("shared").agg(F.avg(F.arrays_overlap(keys("a"), keys("b")).cast("double")).alias("hit")).collect():
+        j = r["shared"] / (16 - r["shared"])
+        assert abs(r["hit"] - (1 - (1 - j**licenses.ROWS) ** licenses.BANDS)) < 0.09
 
 
 PII_ROWS = [
