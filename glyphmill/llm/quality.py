@@ -3,13 +3,15 @@
 ``statistics`` computes plain statistics of whole texts in one row-wise pass. ``learn`` grows and prunes an ordered list
 of threshold conjunctions from labelled statistics by sequential covering: each rule for "reject" gains conditions
 (best information gain, measured on two thirds of the sample) until it covers no good document, then loses final
-conditions while that helps on the other third; it enters the list only if it is precise there. ``verdict`` turns the
-list into one ordered CASE expression.
+conditions while that helps on the other third; it enters the list only if it is precise there, by share and by a cautious
+estimate. The rejected documents that a rule covers are done with, whether it entered or not, and the next rule is grown
+on the rest until none is left. ``verdict`` turns the list into one ordered CASE expression.
 
 Null text counts as empty text: no words, so the base rules reject it. Repeated rows are judged alike. Labels that are
 null or belong to no document are ignored; documents with contradicting labels count as good; documents
 that the base rules reject teach nothing. Without labelled
-documents of both classes the list is empty and only the base rules decide.
+documents of both classes the list is empty and only the base rules decide. An empty table gives an empty table; columns of
+any other name are carried along. Whole texts are read, in time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from glyphmill.llm.common import free_name, map_rows
 
 #: Labelled documents that the list is learned from, at most (those with the smallest hashed ids).
 SAMPLE_ROWS = 20_000
-#: Share of rejected documents among those a rule covers in the pruning third, at least; documents it covers there, at least.
-PRECISION, COVER = 0.98, 3
+#: Share of rejected documents among those a rule covers in the pruning third, at least; the same with one more document
+#: of each class, which a rule that covers few documents does not reach.
+PRECISION, CAUTIOUS = 0.98, 0.9
 SYMBOLS = "#*$%&|<>"
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_upper", "n_digits", "n_exclaims", "n_lines")
@@ -137,28 +140,27 @@ def _grow(x: np.ndarray, y: np.ndarray) -> Rule:
     return rule
 
 
-def learn_rules(x: np.ndarray, y: np.ndarray, most: int = 32) -> list[Rule]:
+def learn_rules(x: np.ndarray, y: np.ndarray) -> list[Rule]:
     """Rules for y (True: reject); x has a column for each of ``FEATURES``. Every third row is for pruning."""
     prune = np.arange(len(x)) % 3 == 2
     gx, gy, px, py = x[~prune], y[~prune], x[prune], y[prune]
     rules: list[Rule] = []
-    while len(rules) < most and gy.any():
-        rule = _grow(gx, gy)
-        if not rule:
+    while gy.any():
+        grown = _grow(gx, gy)
+        if not grown:
             break
 
         def worth(r: Rule) -> float:
             c = _covers(r, px)
             return (2 * py[c].sum() - c.sum()) / max(1, c.sum()) if c.any() else -1.0
 
-        rule = max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: (worth(r), _covers(r, px).sum(), -len(r)))
-        hit = _covers(rule, px)
-        if hit.sum() < COVER or py[hit].mean() < PRECISION:
-            break
-        rules.append(rule)
-        keep = ~_covers(rule, gx)
-        gx, gy = gx[keep], gy[keep]
-        px, py = px[~hit], py[~hit]
+        rule = max((grown[:k] for k in range(1, len(grown) + 1)), key=lambda r: (worth(r), _covers(r, px).sum(), -len(r)))
+        hit, done = _covers(rule, px), _covers(grown, gx) & gy  # a grown rule covers a rejected document at least
+        if hit.any() and py[hit].mean() >= PRECISION and (py[hit].sum() + 1) / (hit.sum() + 2) >= CAUTIOUS:
+            rules.append(rule)
+            done |= _covers(rule, gx)
+            px, py = px[~hit], py[~hit]
+        gx, gy = gx[~done], gy[~done]
     return rules
 
 
