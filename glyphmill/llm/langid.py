@@ -7,9 +7,10 @@ language against the rest. Kernel and solution fold into one matrix, so a batch
 products: presence x landmarks, then kernels x weights.
 
 Characters are folded first: case is dropped, the most frequent letters of the sample keep a code of their own, other
-letters share one, everything else is a gap. Null text and text without a letter are ``und`` with score 0. A null
-``lang`` teaches nothing. Equal scores go to the language that sorts first. With no labelled text at all, every
-text is ``und``.
+letters share ``HASHED`` codes by their hash, everything else is a gap. Null text and text without a letter are ``und``
+with score 0. A null ``lang`` teaches nothing. Equal scores go to the language that sorts first. With no labelled text at
+all, every text is ``und``. Repeated rows are judged alike and a long text by all of it; an empty table gives an empty
+table, and columns of any other name are carried along.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import free_name, map_rows
+from glyphmill.llm.common import free_name, map_rows, materialise
 
-#: Folded characters (two are the gap and "any other letter"), n-gram lengths, landmarks, sampled texts, ridge.
-ALPHABET, LENGTHS, LANDMARKS, SAMPLE_ROWS, RIDGE = 96, (1, 2, 3), 128, 2_000, 1e-3
-#: Languages learned at most (the most frequent).
-MOST_LANGS = 1_000
+#: Letters with a code of their own, codes of other letters, n-gram lengths, landmarks (more where there are more
+#: languages), sampled texts (one of each language at least), ridge.
+ALPHABET, HASHED, LENGTHS, LANDMARKS, SAMPLE_ROWS, RIDGE = 94, 32, (1, 2, 3), 128, 2_000, 1e-3
 
 
 @dataclass
@@ -46,18 +47,21 @@ class Folder:
 
     def __init__(self, alphabet: str):
         code = {c: i + 1 for i, c in enumerate(alphabet)}
-        self.size = len(alphabet) + 2
+        self.first, self.size = len(alphabet) + 1, len(alphabet) + 1 + HASHED
         self.table = np.zeros(1 << 16, np.int32)
         for cp in range(1 << 16):
             c = chr(cp)
             if c.isalpha():
-                self.table[cp] = code.get(c.lower(), self.size - 1)
+                self.table[cp] = code.get(c.lower(), self._other(cp))
         self.offset, at = [], 0
         for n in LENGTHS:
             self.offset.append(at)
             at += self.size**n
         self.total = at
 
+    def _other(self, cp: int) -> int:
+        return self.first + (cp * 2654435761 >> 16) % HASHED
+
     def letters(self, text: bytes | None) -> np.ndarray | None:
         """Folded characters; None without a letter."""
         if not text:
@@ -68,7 +72,7 @@ class Folder:
         if high.any():
             out = self.table[np.where(high, 0, cp)]
             for i in np.flatnonzero(high).tolist():
-                out[i] = self.size - 1 if s[i].isalpha() else 0
+                out[i] = self._other(int(cp[i])) if s[i].isalpha() else 0
         else:
             out = self.table[cp]
         return out if out.any() else None
@@ -119,28 +123,34 @@ class Scorer:
         return out
 
 
-def fit(texts: list[bytes], langs: list[str], alphabet: int = ALPHABET, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Landmarks are the first texts of each language in turn."""
+def alphabet_of(letters: Counter, size: int = ALPHABET) -> str:
+    return "".join(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:size])
+
+
+def letters_of(text: bytes | None) -> Counter:
+    return Counter(c for c in (text or b"").decode("utf-8").lower() if c.isalpha())
+
+
+def fit(sets: list[np.ndarray], langs: list[str], alphabet: str, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """From the sorted distinct n-gram codes of texts with letters. Landmarks are the first texts of each language in turn."""
     names = sorted(set(langs))
     if not names:
         return Model([], "", np.zeros(0, np.int64), np.zeros((0, 0), np.uint8), np.zeros(0, np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    letters = Counter(c for t in texts for c in t.decode("utf-8").lower() if c.isalpha())
-    chars = "".join(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: alphabet - 2])
-    fold = Folder(chars)
     by = [[i for i, x in enumerate(langs) if x == n] for n in names]
-    picked = [i for k in range(max(map(len, by))) for own in by if k < len(own) for i in own[k : k + 1]][:landmarks]
-    sets = [np.unique(fold.codes(c)) for i in picked if (c := fold.letters(texts[i])) is not None]
-    grams = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-    m = Model(names, chars, grams, np.stack([np.isin(grams, s) for s in sets]).astype(np.uint8) if sets else np.zeros((0, 0), np.uint8), np.array([len(s) for s in sets], np.float32), np.zeros((len(sets), len(names)), np.float32), np.zeros(len(names), np.float32))
-    if not sets:
-        m.langs = []
-        return m
-    k, _ = Scorer(m).kernels(texts)
-    own = m.landmarks.astype(np.float64)
-    kmm = own @ own.T / np.sqrt(np.outer(m.norms, m.norms))
+    picked = [i for k in range(max(map(len, by))) for own in by if k < len(own) for i in own[k : k + 1]][: max(landmarks, len(names))]
+    marks = [sets[i] for i in picked]
+    grams = np.unique(np.concatenate(marks))
+    m = Model(names, alphabet, grams, np.stack([np.isin(grams, s) for s in marks]).astype(np.uint8), np.array([len(s) for s in marks], np.float32), np.zeros((len(marks), len(names)), np.float32), np.zeros(len(names), np.float32))
+    matrix = m.landmarks.T.astype(np.float32)
+    rows = []
+    for s in sets:  # a text at a time: presence rows are as wide as the landmarks' n-grams
+        at = np.minimum(np.searchsorted(grams, s), len(grams) - 1)
+        rows.append(matrix[at[grams[at] == s]].sum(0) / np.sqrt(len(s) * m.norms))
+    own = m.landmarks.astype(np.float32)
+    kmm = (own @ own.T).astype(np.float64) / np.sqrt(np.outer(m.norms, m.norms))
     w, v = np.linalg.eigh(kmm)
     root = v[:, w > 1e-8] / np.sqrt(w[w > 1e-8])  # Nyström features: k @ root
-    z = k.astype(np.float64) @ root
+    z = np.stack(rows).astype(np.float64) @ root
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     z1 = np.hstack([z, np.ones((len(z), 1))])
     solved = np.linalg.solve(z1.T @ z1 + ridge * len(z) * np.diag([*np.ones(z.shape[1]), 0.0]) + 1e-9 * np.eye(z1.shape[1]), z1.T @ y)
@@ -149,20 +159,34 @@ def fit(texts: list[bytes], langs: list[str], alphabet: int = ALPHABET, landmark
 
 
 def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled texts among those that ``where`` admits, about as many of each language.
+    """Fit on about ``rows`` labelled texts among those that ``where`` admits, as many of each language and one at least.
 
-    The languages are counted first (one small row each); then each language keeps rows whose hashed id falls below
-    its rate, so no language's rows meet in one task and the driver gets ``rows`` rows at most.
+    Each language keeps the rows of its least hashed ids (a rank that is limited before the shuffle too). The sample stays
+    in the shared folder: the driver gets counts of letters, and then each text's distinct n-gram codes, which are bounded
+    by the alphabet however long the text.
     """
     d = docs.where(where).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    counts = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    if not counts:
-        return fit([], [])
-    rate = F.try_element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], 0.9 * rows / len(counts) / r["count"]))), F.col("lang"))
-    u = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = d.where(u < rate)
-    got = picked.select("id", "lang", "text").orderBy(F.xxhash64("id", F.lit(17)), "id").limit(rows).toPandas()
-    return fit([t.encode() for t in got["text"]], list(got["lang"]))
+    n_langs = d.select("lang").distinct().count()
+    if not n_langs:
+        return fit([], [], "")
+    few = max(1, int(0.9 * rows / n_langs))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(17)), "id"))
+    sample = materialise(d.withColumn("rank", rank).where(F.col("rank") <= few).select("id", "lang", "text"), "languages")
+    count = lambda: lambda texts: [letters_of(t) for t in texts]
+    letters = map_rows(sample, ["text"], "letters", "map<string, bigint>", count, keep=False).select(F.explode("letters").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n"))
+    chars = alphabet_of(Counter({r["c"]: r["n"] for r in letters.orderBy(F.desc("n"), "c").limit(ALPHABET).collect()}))
+
+    def make() -> Callable[[list], list]:
+        fold = Folder(chars)
+
+        def f(texts):
+            folded = [fold.letters(t) for t in texts]
+            return [None if c is None else np.unique(fold.codes(c)).astype("<i4").tobytes() for c in folded]
+
+        return f
+
+    got = map_rows(sample, ["text"], "codes", "binary", make).where("codes is not null").select("id", "lang", "codes").orderBy(F.xxhash64("id", F.lit(17)), "id", "codes").collect()
+    return fit([np.frombuffer(r["codes"], "<i4").astype(np.int64) for r in got], [r["lang"] for r in got], chars)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
