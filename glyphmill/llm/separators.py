@@ -5,7 +5,8 @@ Files are read in blocks of equal size, each a row that any task can take. In a
 once; what a block can't know, where the document began that its first separator ends and how many documents came
 before it, follows from a prefix scan over the blocks of the file (maximum of the last separators, sum of counts).
 A document may span any number of blocks; a block may hold no separator. Ids after the last separator are an
-unfinished document and count as none.
+unfinished document and count as none. Null and empty texts have no ids; rows with the same or no id are counted each;
+an empty table has no files and no counts; only id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.bpe import coder
 from glyphmill.llm.common import SLICE_ROWS, binary_values, file_system, materialise, work_dir
+from glyphmill.sources.storage import open_output
 
-#: Bytes of a block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of a block, blocks that a task reads one after the other.
+BLOCK_BYTES, BLOCKS_A_TASK = 8 << 20, 4
 
 
 def write_flat(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,9 +53,7 @@ def write_flat(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 part = whole.slice(at, SLICE_ROWS)
                 if sink is None:
-                    system, p = file_system(uri)
-                    system.create_dir(p.rpartition("/")[0], recursive=True)
-                    sink = system.open_output_stream(p)
+                    sink = open_output(uri)
                 n = 0
                 for text in binary_values(part.column(1)):
                     data = np.frombuffer(b"".join(c.encode_parts(text)), "<u4").astype(dtype).tobytes() + end
@@ -73,7 +73,8 @@ def scan_counts(files: DataFrame, end_id: int, width: int = 2, block_bytes: int
     step = block_bytes - block_bytes % width
     blocks = files.where("n_bytes > 0").select("uri", "n_bytes", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_bytes") - 1) / step))).alias("block"))
     blocks = blocks.select("uri", "block", F.least(F.lit(step), F.col("n_bytes") - F.col("block") * step).alias("size"))
-    blocks = blocks.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism * 4))
+    n_blocks = files.agg(F.sum(F.ceil(F.col("n_bytes") / step))).first()[0] or 0
+    blocks = blocks.repartition(max(1, int(n_blocks) // BLOCKS_A_TASK))
     dtype = np.dtype("<u2" if width == 2 else "<u4")
     schema = pa.schema([("uri", pa.string()), ("block", pa.int64()), ("n_sep", pa.int64()), ("first_sep", pa.int64()), ("last_sep", pa.int64()), ("inner", pa.list_(pa.int64()))])
 
