@@ -13,7 +13,8 @@ Documents are dealt to shards by ranges of their id, sorted, encoded and written
 A key is 0x00 for a null id, else 0x01 and the id as a big-endian integer with its sign bit flipped, so byte order
 is id order with nulls first. A value is the ids, two bytes each where the vocabulary allows it, else four. Rows with
 the same id are entries of their own; a lookup returns all of them. Each task writes to a name of its own attempt and
-reports it, so a lost or repeated task leaves no wrong file behind. Files stay in the shared folder.
+reports it, so a lost or repeated task leaves no wrong file behind. Files stay in the shared folder. An empty table has no
+shards and no rows; only id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -31,11 +32,14 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.bpe import coder
 from glyphmill.llm.common import SLICE_ROWS, binary_values, file_system, materialise, work_dir
+from glyphmill.sources.storage import open_output
 
 MAGIC = b"GMSST001"
 FOOTER = struct.Struct(">QQQQQQB7x8s")
 #: Bytes of a block before compression, bits of the Bloom filter a key, its probes.
 BLOCK, BLOOM_BITS, PROBES = 1 << 18, 10, 7
+#: Bytes of text of a shard, on average.
+SHARD_BYTES = 24 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -177,13 +181,14 @@ class Reader:
 def write_shards(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, special: bool = True) -> DataFrame:
     """Encode every whole text (null: empty), append ``end_id`` and write shards in ascending id order.
 
-    Returns the manifest, a row a shard: shard, uri, n_docs, n_tokens. ``shards`` is by default the number of input
-    partitions. One range shuffle of (id, text); a shard streams through its task block by block.
+    Returns the manifest, a row a shard: shard, uri, n_docs, n_tokens. By default a shard has about ``SHARD_BYTES`` of
+    text. One range shuffle of (id, text), in which rows of one id (or none) are dealt by their texts, so they may fill
+    several shards, one after the other; a shard streams through its task block by block.
     """
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     spark = d.sparkSession
     folder = work_dir(spark, "sst")
-    n = shards or max(1, d.rdd.getNumPartitions())
+    n = shards or max(1, -(-(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -197,16 +202,15 @@ def write_shards(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
                 part = whole.slice(at, SLICE_ROWS)
                 for doc_id, text in zip(part.column(0).to_pylist(), binary_values(part.column(1))):
                     if writer is None:
-                        system, p = file_system(name)
-                        system.create_dir(p.rpartition("/")[0], recursive=True)
-                        writer = Writer(system.open_output_stream(p), width)
+                        writer = Writer(open_output(name), width)
                     ids = np.frombuffer(b"".join(c.encode_parts(text)), "<u4").astype(dtype)
                     writer.add(key_of(doc_id), ids.tobytes() + dtype.type(end_id).tobytes(), len(ids) + 1)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": ctx.partitionId(), "uri": name, "n_docs": writer.n, "n_tokens": writer.ids}], pa.schema([("shard", pa.int64()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    made = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "shard bigint, uri string, n_docs bigint, n_tokens bigint")
+    ranged = d.withColumn("salt", F.xxhash64("text")).repartitionByRange(n, "doc_id", "salt").sortWithinPartitions("doc_id").drop("salt")
+    made = ranged.mapInArrow(run, "shard bigint, uri string, n_docs bigint, n_tokens bigint")
     return materialise(made, "sst-manifest")
 
 
@@ -214,7 +218,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every entry, from the files."""
     # One small row a shard: the window's single task doesn't grow with the documents.
     placed = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    spread = placed.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4))
+    spread = placed.repartition(max(1, manifest.count()))  # about a shard a task
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,5 +259,3 @@ def lookup(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> Da
 
 def shard_digests(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return read_shards(write_shards(docs, path, end_id, id_col, text_col))
-
-
