@@ -6,12 +6,14 @@ The tokenizers library does the merges. Text is cut where its encoding is known
 * byte-level tokenizer: before a space that follows a character other than white space and precedes one.
 
 Pieces between the cuts repeat, so their ids are cached. A *long* piece (more than ``LONG`` symbols without a
-place to cut) is encoded as a tree: leaves in one parallel batch, then neighbours are joined level by level.
+place to cut) is encoded as a tree of halves: ranges of leaves, and later ranges of joins, go to ``THREADS`` threads (the
+library works outside Python's lock), then neighbours are joined level by level.
 At each join the last and first ``k`` tokens are encoded again as one window; where the window's outer tokens
 equal the old ones, both sides agree and the window replaces them, else ``k`` doubles. Adjacent tokens of a BPE
 encoding constrain each other only in pairs, so equal outer tokens prove that the spliced encoding is exact.
 
-Null text is empty text: no ids, empty decoded text. Strings of special tokens in a text become special tokens,
+Null text is empty text: no ids, empty decoded text. An empty table gives an empty table; columns of any other name are
+carried along. Strings of special tokens in a text become special tokens,
 as in the library (``special=True``), or stay ordinary text (``special=False``).
 """
 
@@ -22,6 +24,7 @@ import json
 import os
 import re
 from array import array
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,6 +34,8 @@ from glyphmill.llm.common import claim, free_name, map_rows
 
 #: Symbols (byte-level characters) from which a piece counts as long, symbols in a leaf, tokens in the first window.
 LONG, LEAF, WINDOW = 512, 256, 4
+#: Threads of a worker for a long piece, parts from which they pay.
+THREADS, THREAD_PARTS = 4, 64
 #: Entries of a piece cache. A full cache takes no more, so frequent pieces, which come first, stay; it is emptied
 #: when it no longer knows half of the pieces.
 CACHE = 300_000
@@ -79,8 +84,16 @@ class TreeEncoder:
         for end in (False, True):
             where = [i for i, p in enumerate(parts) if p[1] == end]
             coder = self.last if end else self.inner
-            for i, e in zip(where, coder.encode_batch([parts[i][0] for i in where], add_special_tokens=False)):
-                out[i] = e.ids
+            ids = lambda own, coder=coder: [e.ids for e in coder.encode_batch([parts[i][0] for i in own], add_special_tokens=False)]
+            size = max(THREAD_PARTS, -(-len(where) // THREADS))
+            ranges = [where[k : k + size] for k in range(0, len(where), size)]
+            if len(ranges) > 1:
+                with ThreadPoolExecutor(THREADS) as pool:
+                    got = [x for r in pool.map(ids, ranges) for x in r]
+            else:
+                got = ids(where)
+            for i, x in zip(where, got):
+                out[i] = x
         return out
 
     def _text(self, ids: list[int], end: bool) -> str:
@@ -243,13 +256,13 @@ def coder(path: str, special: bool = True) -> PieceCoder:
     return _CODERS[path, special]
 
 
-def encode_decode(docs: DataFrame, path: str, text_col: str = "text", out: str = "bpe", ids: bool = True) -> DataFrame:
-    """Append struct ``out``: ids (optional), n_tokens, ids_sha256, decoded_sha256 and, with ids, the decoded text.
+def encode_decode(docs: DataFrame, path: str, text_col: str = "text", out: str = "bpe", ids: bool = True, decoded: bool = True) -> DataFrame:
+    """Append struct ``out``: n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids and the decoded text.
 
     Row-wise: no shuffle, repeated rows and rows with null ids stay as they are. Null or empty text has no ids, and
     both digests are those of the empty string.
     """
-    kinds = "n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + (", ids: array<bigint>, decoded: string" if ids else "")
+    kinds = "n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + (", ids: array<bigint>" if ids else "") + (", decoded: string" if decoded else "")
 
     def make():
         c = coder(path)
@@ -260,7 +273,7 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", out: str =
                 parts = c.encode_parts(t)
                 packed, shown = b"".join(parts), c.decode_parts(parts)
                 row = {"n_tokens": len(packed) // 4, "ids_sha256": hashlib.sha256(packed).hexdigest(), "decoded_sha256": hashlib.sha256(shown.encode()).hexdigest()}
-                rows.append(row | {"ids": np.frombuffer(packed, "<u4").tolist(), "decoded": shown} if ids else row)
+                rows.append(row | ({"ids": np.frombuffer(packed, "<u4").tolist()} if ids else {}) | ({"decoded": shown} if decoded else {}))
             return rows
 
         return f
@@ -272,6 +285,6 @@ def encoded_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
     d = docs.select(id_col, text_col)
     out = free_name(d, "bpe")
-    return encode_decode(d, path, text_col, out, ids=False).select(
+    return encode_decode(d, path, text_col, out, ids=False, decoded=False).select(
         F.col(id_col).alias("doc_id"), *(F.col(f"{out}.{c}").alias(c) for c in ("n_tokens", "ids_sha256", "decoded_sha256"))
     )
