@@ -20,6 +20,8 @@ chance 2**-64).
 
 Null text has no words: nothing is kept or removed. Rows with the same id are one document for the comparison (neither
 is smaller); each row is reported by itself. A null id is larger than every other id. Fewer words than a window: kept whole.
+An empty table gives an empty table; only id and text are read, whatever other columns are called. A long text is one
+unit of a group and costs in proportion to its length.
 """
 
 from __future__ import annotations
@@ -148,7 +150,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, group_chars: int) -> tu
     chars = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-chars // group_chars))
     bits = max(10, int(np.ceil(np.log2(max(1, WIDTH * chars / 6)))))
-    g = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(n)).cast("int")
+    # Rows without id need not meet: they are dealt by their texts.
+    g = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id", F.lit(9))), F.lit(n)).cast("int")
     return d.select(g.alias("g"), "id", "text"), n, bits
 
 
