@@ -96,6 +96,9 @@ def test_sstable(spark):
         start += len(x)
     found = sstable.lookup(manifest, table(spark, [(103, ""), (5555, ""), (-5, "")])).collect()
     assert {r["doc_id"]: r["ids"] for r in found} == {103: ids[[i for i, _ in rows].index(103)], -5: ids[0]}
+    same = sstable.write_shards(table(spark, [(5, f"text {i}") for i in range(60)] + [(6, "last"), (4, "first")]), BYTE_BPE, 0, shards=4)
+    assert same.count() > 1 and len(sstable.lookup(same, table(spark, [(5, "")])).collect()) == 60
+    assert [r["doc_id"] for r in sstable.read_shards(same).orderBy("start").collect()] == [4] + [5] * 60 + [6]
     nulls = sstable.shard_digests(table(spark, [(None, "a"), (1, "b"), (1, "b")]), BYTE_BPE).orderBy("start").collect()
     assert [r["doc_id"] for r in nulls] == [None, 1, 1]
     assert sstable.shard_digests(d.limit(0), BYTE_BPE).count() == 0
@@ -111,8 +114,11 @@ def test_sstable_file_is_checked(tmp_path):
 def test_separator_scan(spark, block):
     d = table(spark, [*ROWS, (None, "null id"), (200, "<|endoftext|> is text")])
     got = Counter((r["doc_id"], r["n_tokens"]) for r in separators.token_counts(d, BYTE_BPE, 50256, block_bytes=block).collect())
-    c = bpe.PieceCoder(BYTE_BPE, special=False)
-    assert got == Counter((i, len(c.encode((t or "").encode())) // 4) for i, t in [*ROWS, (None, "null id"), (200, "<|endoftext|> is text")])
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BYTE_BPE)
+    tok.encode_special_tokens = True
+    assert got == Counter((i, len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in [*ROWS, (None, "null id"), (200, "<|endoftext|> is text")])
     assert separators.token_counts(d.limit(0), BYTE_BPE, 50256).count() == 0
 
 
@@ -155,6 +161,47 @@ def test_quality_rules_are_learned(spark):
     assert quality.learn(d, labels.limit(0)) == [] and quality.judge(d.limit(0), rules).count() == 0
 
 
+def test_rules_go_on_after_a_weak_one():
+    """A first feature separates in growing, but not in pruning; the second rule still comes."""
+    rng = np.random.default_rng(2)
+    n = 900
+    x = np.zeros((n, len(quality.FEATURES)))
+    y = np.zeros(n, bool)
+    prune = np.arange(n) % 3 == 2
+    weak, strong = rng.permutation(n)[:200], rng.permutation(n)[:260]
+    x[weak, 1] = 1
+    y[weak] = ~prune[weak]
+    x[strong, 2] = 1
+    y[strong] = True
+    x[strong, 1] = 0
+    rules = quality.learn_rules(x, y)
+    assert any(c.feature == quality.FEATURES[2] for r in rules for c in r) and not any(c.feature == quality.FEATURES[1] for r in rules for c in r if c.above)
+
+
+def test_language_kernels_equal_plain_sets(spark):
+    """Kernels by matrix product against sets of n-grams, and a rare language beside a frequent one."""
+    rng = random.Random(23)
+    chars = {"p": "abcdxy", "q": "efghxy", "日": "日本語文字"}
+    make = lambda c: " ".join("".join(rng.choice(c) for _ in range(5)) for _ in range(30))
+    rows = [(i, make(chars["p"]), "p") for i in range(150)] + [(200 + i, make(chars["q"]), "q") for i in range(9)] + [(300 + i, make(chars["日"]), "日") for i in range(9)]
+    model = langid.train(table(spark, rows, ", lang string"), F.lit(True), rows=40)
+    assert model.langs == ["p", "q", "日"] and len(model.landmarks) > 20
+    scorer = langid.Scorer(model)
+    texts = [make(c) for c in chars.values() for _ in range(4)] + ["", "12"]
+    k, some = scorer.kernels([t.encode() for t in texts])
+    back = {int(c): None for c in model.grams}
+    for i, t in enumerate(texts):
+        c = scorer.fold.letters(t.encode())
+        own = set() if c is None else set(scorer.fold.codes(c).tolist())
+        assert some[i] == bool(own)
+        for j, mark in enumerate(model.landmarks):
+            theirs = {g for g, on in zip(back, mark) if on}
+            assert abs(k[i, j] - (len(own & theirs) / (len(own) * len(theirs)) ** 0.5 if own else 0)) < 1e-5
+    assert [r["lang_pred"] for r in scorer.predict([t.encode() for t in texts])] == ["p"] * 4 + ["q"] * 4 + ["日"] * 4 + ["und"] * 2
+    grams = scorer.fold.codes(scorer.fold.letters("ab a".encode()))
+    assert len(grams) == 4 + 3 + 2
+
+
 def test_language(spark):
     rng = random.Random(6)
     make = lambda chars: " ".join("".join(rng.choice(chars) for _ in range(5)) for _ in range(30))
@@ -184,6 +231,36 @@ def test_myers():
         assert decontaminate.myers(a, masks, b)[0] == min(row)
 
 
+def slow_distance(item, text):
+    """Least edits between the item and any passage of the text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        old, row = row, [i]
+        for j, y in enumerate(text, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return min(row)
+
+
+def test_matcher_equals_all_distances():
+    """Items with common pieces, short ones and equal ones, against the distance to every passage."""
+    rng = random.Random(21)
+    common = sentence(8, rng)
+    items = [(k, f"{common} {sentence(6, rng)}") for k in range(25)] + [(90, "tiny"), (91, "q"), (92, "two words"), (93, f"{common} same"), (94, f"{common} same")]
+    m = decontaminate.Matcher(items)
+    for _ in range(60):
+        item = rng.choice(items)[1]
+        text = f"{sentence(5, rng)} {edited(item, rng.randint(0, 5), rng)} {sentence(4, rng)} {rng.choice(['tinyx', 'tiny', 'two words', 'atwo words', 'q'])}"
+        s = decontaminate.normalise(text.encode())
+        want = {}
+        for k, t in items:
+            d = slow_distance(t, s)
+            if len(t) < decontaminate.SHORT:
+                d = 0 if re.search(rf"(?<![^\W_]){re.escape(t)}(?![^\W_])", s) else 99
+            if d <= decontaminate.budget(len(t)):
+                want[k] = d
+        assert {r["item_id"]: r["distance"] for r in m.scan(text.encode())} == want
+
+
 def edited(text, k, rng):
     t = list(text)
     for _ in range(k):
@@ -204,7 +281,7 @@ def test_decontamination(spark):
         if leak:
             want.add((i, n))
     rows += [(90, None), (91, ""), (None, items[0]), (92, items[1]), (92, items[1])]
-    bench = spark.createDataFrame([*enumerate(items), (50, None), (51, ""), (52, "short")], "item_id bigint, text string")
+    bench = spark.createDataFrame([*enumerate(items), (50, None), (51, ""), (52, "sh0rt")], "item_id bigint, text string")
     d = table(spark, rows).withColumn("item_id", F.lit("clash"))
     got = decontaminate.matches(d, bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want | {(None, 0), (92, 1)}
@@ -327,7 +404,7 @@ def test_substrings(spark, group_chars):
     rng = random.Random(12)
     passages = [sentence(n, rng) for n in (13, 14, 40)]
     rows = [(i, " ".join([sentence(rng.randint(0, 30), rng), rng.choice(passages), sentence(rng.randint(0, 30), rng)])) for i in range(50)]
-    rows += [(60, None), (61, ""), (62, "few words"), (None, passages[0]), (5, passages[2]), (70, " ".join(["same"] * 40)), (71, " ".join(["same"] * 20))]
+    rows += [(60, None), (61, ""), (62, "few words"), (None, passages[0]), (None, passages[0]), (None, sentence(60, rng)), (5, passages[2]), (70, " ".join(["same"] * 40)), (71, " ".join(["same"] * 20))]
     got = substring.removals(table(spark, rows).withColumn("g", F.lit("clash")), group_chars=group_chars).collect()
     assert Counter(tuple(r) for r in got) == slow_removals(rows, 13)
     assert substring.removals(table(spark, rows).limit(0)).count() == 0
