@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the shared folder and gives
 what it reads back to the next stage. All stages but the last return the columns of their input, whatever these are.
+
+Rows without doc_id, rows with the same doc_id and repeated rows are judged each by its own text; of rows with the same text
+one stays (near_duplicates), that of the least doc_id. Null and empty texts are rejected by the first stage. Very long
+texts are read whole by every stage. Empty tables, also of labels or benchmark items, give empty results or let all pass.
 Counted as part of ``glyphmill.llm``.
 """
 
@@ -43,7 +47,7 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids of the text, their number and digest, and the digest of the decoded text."""
     d = docs.select("doc_id", "text")
-    return bpe.encode_decode(d, bpe.tokenizer_path("word_bpe_49k.json"), out="bpe").select(
+    return bpe.encode_decode(d, bpe.tokenizer_path("word_bpe_49k.json"), out="bpe", decoded=False).select(
         "doc_id", F.col("bpe.n_tokens").alias("n_tokens"), F.col("bpe.ids").alias("ids"), F.col("bpe.ids_sha256").alias("ids_sha256"), F.col("bpe.decoded_sha256").alias("decoded_sha256")
     )
 
