@@ -21,7 +21,6 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import free_name, map_rows, materialise
@@ -29,6 +28,8 @@ from glyphmill.llm.common import free_name, map_rows, materialise
 #: Letters with a code of their own, codes of other letters, n-gram lengths, landmarks (more where there are more
 #: languages), sampled texts (one of each language at least), ridge.
 ALPHABET, HASHED, LENGTHS, LANDMARKS, SAMPLE_ROWS, RIDGE = 94, 32, (1, 2, 3), 128, 2_000, 1e-3
+#: Texts of a language that are drawn beyond its share: with these, one goes without any with a chance under 2e-5.
+SPARE = 10
 
 
 @dataclass
@@ -161,17 +162,20 @@ def fit(sets: list[np.ndarray], langs: list[str], alphabet: str, landmarks: int
 def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
     """Fit on about ``rows`` labelled texts among those that ``where`` admits, as many of each language and one at least.
 
-    Each language keeps the rows of its least hashed ids (a rank that is limited before the shuffle too). The sample stays
-    in the shared folder: the driver gets counts of letters, and then each text's distinct n-gram codes, which are bounded
+    The languages are counted first; then each keeps the rows whose hashed id and text fall below its rate, so no
+    language's rows meet in one task; repeated rows count once. The sample stays in the shared folder: the driver gets counts of letters, and then each text's distinct n-gram codes, which are bounded
     by the alphabet however long the text.
     """
     d = docs.where(where).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    n_langs = d.select("lang").distinct().count()
-    if not n_langs:
+    counts = [(r["lang"], r["count"]) for r in d.groupBy("lang").count().collect()]  # the model names them all
+    if not counts:
         return fit([], [], "")
-    few = max(1, int(0.9 * rows / n_langs))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(17)), "id"))
-    sample = materialise(d.withColumn("rank", rank).where(F.col("rank") <= few).select("id", "lang", "text"), "languages")
+    few = max(1, int(0.9 * rows / len(counts))) + SPARE
+    rates = d.sparkSession.createDataFrame([(k, min(1.0, few / n)) for k, n in counts], "lang string, rate double")
+    rates = F.broadcast(rates) if len(counts) <= 100_000 else rates
+    u = F.pmod(F.xxhash64("id", "text", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = d.join(rates, "lang").where(u < F.col("rate")).select("id", "lang", "text").dropDuplicates()
+    sample = materialise(picked, "languages")
     count = lambda: lambda texts: [letters_of(t) for t in texts]
     letters = map_rows(sample, ["text"], "letters", "map<string, bigint>", count, keep=False).select(F.explode("letters").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n"))
     chars = alphabet_of(Counter({r["c"]: r["n"] for r in letters.orderBy(F.desc("n"), "c").limit(ALPHABET).collect()}))
