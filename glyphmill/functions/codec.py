@@ -66,6 +66,47 @@ def seven_bit(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, WHITESPACE, " "), "[^ -~]", "\x7f")
 
 
+#: Tokens of the seven-bit code: 1 to 95 are printable ASCII, 0 is none, 127 what has no token.
+SEVEN_NULL, SEVEN_LAST, SEVEN_UNKNOWN = 0, 95, 127
+
+
+def seven_bit_tokens(text: Column) -> Column:
+    """Tokens of a text, one a character; empty for an empty text."""
+    chars = F.filter(F.split(seven_bit(text), ""), lambda c: c != "")
+    return F.transform(chars, lambda c: F.when(c == "\x7f", F.lit(SEVEN_UNKNOWN)).otherwise(F.ascii(c) - 31))
+
+
+def seven_bit_text(tokens: Column) -> Column:
+    """Characters of tokens, ``?`` for unknown ones; any other number is an error."""
+    printable = "".join(map(chr, range(32, 127)))
+    bad = F.raise_error(F.lit("not a token of the seven-bit code")).cast("string")
+    one = lambda t: F.when(is_ascii(t), F.substring(F.lit(printable), t, F.lit(1))).when(is_unknown(t), F.lit("?")).otherwise(bad)
+    return F.array_join(F.transform(tokens, one), "")
+
+
+def is_ascii(token: Column) -> Column:
+    return token.between(1, SEVEN_LAST)
+
+
+def is_unknown(token: Column) -> Column:
+    return token == SEVEN_UNKNOWN
+
+
+def is_null(token: Column) -> Column:
+    return token == SEVEN_NULL
+
+
+def validated(token_text: Column) -> Column:
+    """Token text of a word; an error where it holds anything but letters' tokens (1 to 26, 28 to 48)."""
+    bad = F.raise_error(F.concat(F.lit("not a word of letters: "), token_text)).cast("string")
+    return F.when(F.regexp_like(token_text, F.lit(f"^[{ALPHABET[1:27]}{ALPHABET[28:49]}]+$")), token_text).otherwise(bad)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def packed(token_text: Column) -> Column:
     """Tokens, six bits each, the last one lowest: a bigint for up to ten tokens."""
     digit = lambda c: (F.instr(F.lit(ALPHABET), c) - 1).cast("bigint")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_DOC = r"(?i)^<[\s]*doc .*>$"
-
 
 def strip_markup(text: Column, strict_end: bool = False) -> Column:
     """Text of ``<doc …>`` elements without tags.

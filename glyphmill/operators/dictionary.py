@@ -9,12 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.functions import codec
+from glyphmill.sources.storage import cut
 
 #: Characters that end a word, as a regular expression on token text.
 BREAK = f"[{codec.SEPARATOR}{codec.SENTENCE_END}\\{codec.NULL}]+"
 
-#: Tokens of the pieces by which edit-distance search finds candidates, at least.
-PIECE = 3
+#: Tokens of the pieces by which edit-distance search finds candidates, at least; distance up to which shorter queries are
+#: found by deletion neighbourhoods (a word of eleven tokens has 232 of up to three).
+PIECE, DELETIONS = 3, 3
 
 
 def accepted(word: Column) -> Column:
@@ -41,21 +43,24 @@ def merge_counts(*parts: DataFrame) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(idx, tt, word, length) in token order.
-
-    The index comes from a range partitioning: rows before the partition plus place in it, so no task sees all words.
-    """
+    """(idx, tt, word, length) in token order (see ``indexed``)."""
     return indexed(word_counts(docs, text_col).select("tt", "word"))
 
 
 def indexed(found: DataFrame) -> DataFrame:
-    """Number distinct words in token order: prefix groups first, then words in their group, both by small windows."""
-    prefix = F.substring("tt", 1, 2)
-    sizes = found.groupBy(prefix.alias("px")).agg(F.count("*").alias("n"))
-    # At most 64 * 65 prefixes: the single-partition window over them does not grow with the corpus.
-    offsets = sizes.select("px", F.coalesce(F.sum("n").over(W.orderBy("px").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = found.withColumn("px", prefix).join(offsets, "px")
-    idx = F.col("before") + F.row_number().over(W.partitionBy("px").orderBy("tt")) - 1
+    """Number distinct words in token order by windows of bounded groups: prefixes of two tokens, of four, words.
+
+    At most 64 * 65 prefixes of two tokens meet in one task, 4,161 of four under each of them, and then the words of a
+    prefix of four tokens, a thousandth of a language's words or so.
+    """
+    all_before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    start = F.substring("tt", 1, 4)
+    fours = found.groupBy(start.alias("p4")).agg(F.count("*").alias("n")).withColumn("p2", F.substring("p4", 1, 2))
+    twos = fours.groupBy("p2").agg(F.sum("n").alias("n")).select("p2", F.coalesce(F.sum("n").over(all_before(W.orderBy("p2"))), F.lit(0)).alias("a"))
+    within = fours.withColumn("b", F.coalesce(F.sum("n").over(all_before(W.partitionBy("p2").orderBy("p4"))), F.lit(0)))
+    offsets = within.join(twos, "p2").select("p4", (F.col("a") + F.col("b")).alias("before"))
+    placed = found.withColumn("p4", start).join(offsets, "p4")
+    idx = F.col("before") + F.row_number().over(W.partitionBy("p4").orderBy("tt")) - 1
     return placed.select(idx.cast("bigint").alias("idx"), "tt", "word", F.length("tt").cast("int").alias("length"))
 
 
@@ -95,65 +100,108 @@ def prefix_ranges(queries: DataFrame, dic: DataFrame, word_col: str = "query") -
     return long.unionByName(short)
 
 
-def _in_prefix(queries: DataFrame, dic: DataFrame, word_col: str | None) -> DataFrame:
-    """Pairs of a query and the words of its prefix range: (columns of queries, q, tt, word, idx).
-
-    Without ``word_col`` the queries have their token text in q already.
-    """
-    q = queries.withColumn("q", query_token_text(F.col(word_col))) if word_col else queries
+def _in_prefix(asked: DataFrame, dic: DataFrame) -> DataFrame:
+    """(q, tt, word, idx) for the words of the prefix range of each distinct query's token text q."""
     d = dic.select("tt", "word", "idx")
-    long = q.where("length(q) >= 2").withColumn("px", F.substring("q", 1, 2)).join(d.where("length(tt) >= 2").withColumn("px", F.substring("tt", 1, 2)), "px").drop("px")
-    # Queries of a single token range over everything; there are 64 of them at most.
-    short = q.where("length(q) = 1").select("q").distinct().withColumn("k", F.lit(1)).join(d.withColumn("k", F.lit(1)), "k").drop("k")
-    return long.unionByName(q.where("length(q) = 1").join(short, "q").select(*long.columns))
+    long = asked.where("length(q) >= 2").withColumn("px", F.substring("q", 1, 2)).join(d.where("length(tt) >= 2").withColumn("px", F.substring("tt", 1, 2)), "px").drop("px")
+    # Queries of a single token range over everything. They are distinct, so at most 64: a broadcast of that bound.
+    short = d.crossJoin(F.broadcast(asked.where("length(q) = 1").select("q")))
+    return long.unionByName(short.select(*long.columns))
+
+
+def _shares_prefix() -> Column:
+    return (F.length("q") < 2) | ((F.length("tt") >= 2) & (F.substring("q", 1, 2) == F.substring("tt", 1, 2)))
 
 
 def closest(queries: DataFrame, dic: DataFrame, word_col: str = "query") -> DataFrame:
-    """Queries with the ``closest`` word of their prefix range (least distance, then least index), or null, and ``dist``."""
-    asked = queries.select(query_token_text(F.col(word_col)).alias("query")).distinct()
-    known = asked.join(dic.select(F.col("tt").alias("query"), F.col("word").alias("closest")), "query").withColumn("dist", F.lit(0))
-    # Only words that the dictionary lacks are compared with their range.
-    rest = asked.join(dic.select(F.col("tt").alias("query")), "query", "left_anti").select(F.col("query").alias("q"))
-    pairs = _in_prefix(rest, dic, None).withColumn("dist", F.levenshtein("q", "tt"))
-    best = pairs.groupBy("q").agg(F.min(F.struct("dist", "idx", "word")).alias("b")).select(F.col("q").alias("query"), F.col("b.word").alias("closest"), F.col("b.dist").alias("dist"))
-    found = known.unionByName(best).withColumnRenamed("query", "q")
+    """Queries with the ``closest`` word of their prefix range (least distance, then least index), or null, and ``dist``.
+
+    Words of the dictionary are their own; then come words within two edits, by deletion neighbourhoods; only queries that
+    have neither are compared with their whole range.
+    """
+    asked = cut(queries.select(query_token_text(F.col(word_col)).alias("q")).distinct())
+    best = lambda pairs: pairs.groupBy("q").agg(F.min(F.struct("dist", "idx", "word")).alias("b")).select("q", F.col("b.word").alias("closest"), F.col("b.dist").alias("dist"))
+    known = asked.join(dic.select(F.col("tt").alias("q"), F.col("word").alias("closest")), "q").withColumn("dist", F.lit(0))
+    rest = asked.join(dic.select(F.col("tt").alias("q")), "q", "left_anti")
+    near = cut(best(within_distance_all(rest, dic, 2, None).where(_shares_prefix())))
+    far = best(_in_prefix(rest.join(near, "q", "left_anti"), dic).withColumn("dist", F.levenshtein("q", "tt")))
     q = queries.withColumn("q", query_token_text(F.col(word_col)))
-    return q.join(found, "q", "left").select(*queries.columns, "closest", "dist")
+    return q.join(known.unionByName(near).unionByName(far), "q", "left").select(*queries.columns, "closest", "dist")
 
 
 def within_distance(queries: DataFrame, dic: DataFrame, limit: int, word_col: str = "query") -> DataFrame:
     """(columns of queries, word, idx, dist) for words of the prefix range nearer than ``limit``."""
-    if limit <= 0:
-        return _in_prefix(queries, dic, word_col).where("false").select(*queries.columns, "word", "idx", F.lit(0).alias("dist"))
-    near = _in_prefix(queries, dic, word_col).where(F.abs(F.length("q") - F.length("tt")) < limit).withColumn("dist", F.levenshtein("q", "tt"))
-    return near.where(F.col("dist") < limit).select(*queries.columns, "word", "idx", "dist")
+    near = within_distance_all(queries if limit > 0 else queries.limit(0), dic, max(0, limit - 1), word_col).where(_shares_prefix())
+    q = queries.withColumn("q", query_token_text(F.col(word_col)))
+    return q.join(near, "q").select(*queries.columns, "word", "idx", "dist")
 
 
-def within_distance_all(queries: DataFrame, dic: DataFrame, limit: int, word_col: str = "query") -> DataFrame:
-    """(q, tt, word, idx, dist) for words of the whole dictionary within ``limit`` (inclusive), by pigeonhole pieces.
+def _shorter(word: Column) -> Column:
+    """The words that lack one token of a word."""
+    without = lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word)))
+    return F.when(word != "", F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), without)).otherwise(F.array().cast("array<string>"))
 
-    Distinct queries only. A word within d edits of the query keeps one of the query's d + 1 pieces unchanged, at
-    most d places away: queries are filed under their pieces and words under their substrings at those places, an
-    equi-join instead of all pairs. Queries whose pieces would be shorter than ``PIECE`` tokens, which nearly every
-    word contains, meet the words of like length, by an equi-join on the length.
+
+def neighbourhood(word: Column, k: int) -> Column:
+    """Fingerprints of a word with up to k tokens left out. Words within k edits have one in common."""
+
+    def deeper(level: Column, left: int) -> Column:
+        if not left:
+            return level
+        return codec.let(F.array_distinct(F.flatten(F.transform(level, _shorter))), lambda nxt: F.concat(level, deeper(nxt, left - 1)))
+
+    return F.array_distinct(F.transform(codec.let(F.array(word), lambda own: deeper(own, k)), lambda w: F.xxhash64(w)))
+
+
+def within_distance_all(queries: DataFrame, dic: DataFrame, limit: int, word_col: str | None = "query") -> DataFrame:
+    """(q, tt, word, idx, dist) for words of the whole dictionary within ``limit`` (inclusive), by equi-joins.
+
+    Distinct queries only; without ``word_col`` they have their token text in q already. A word within d edits of a query
+    keeps one of the query's d + 1 pieces unchanged, at most d places away: long queries are filed under their pieces and
+    words under their substrings at those places. Where pieces would be shorter than ``PIECE`` tokens, which nearly every
+    word contains, words meet by what is left of them without up to d tokens, for d up to ``DELETIONS``. Beyond, such
+    queries meet the words of like length; ``nearest`` asks that of the few queries only that have no nearer word.
     """
-    q = queries.select(query_token_text(F.col(word_col)).alias("q")).distinct().where("q <> ''")
+    q = (queries.select(query_token_text(F.col(word_col)).alias("q")) if word_col else queries.select("q")).distinct().where("q <> ''")
     d = dic.select("tt", "word", "idx")
     parts = limit + 1
     n = F.length("q")
-    cut = lambda k: F.floor(n * k / parts).cast("int")
-    pieces = q.where(n >= parts * PIECE).select("q", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), n.alias("n"), (cut(k) + 1).alias("at"), (cut(k + 1) - cut(k)).alias("len"), F.substring("q", cut(k) + 1, cut(k + 1) - cut(k)).alias("piece")) for k in range(parts)))).alias("p")).select("q", "p.*")
+    cut_at = lambda k: F.floor(n * k / parts).cast("int")
+    pieces = q.where(n >= parts * PIECE).select("q", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), n.alias("n"), (cut_at(k) + 1).alias("at"), (cut_at(k + 1) - cut_at(k)).alias("len"), F.substring("q", cut_at(k) + 1, cut_at(k + 1) - cut_at(k)).alias("piece")) for k in range(parts)))).alias("p")).select("q", "p.*")
     shapes = pieces.select("n", "at", "len").distinct()  # a few for each length of a query
     by_length = F.sequence(F.greatest(F.lit(1), F.length("tt") - limit), F.length("tt") + limit)
     words_by_n = d.select("tt", F.explode(by_length).alias("n"))
     places = F.sequence(F.greatest(F.lit(1), F.col("at") - limit), F.col("at") + limit)
-    subs = words_by_n.join(F.broadcast(shapes), "n").select("tt", "n", "at", "len", F.explode(places).alias("start")).select("tt", "n", "at", F.substring("tt", F.col("start"), F.col("len")).alias("piece"), "len").where(F.length("piece") == F.col("len")).distinct()
+    subs = words_by_n.join(shapes, "n").select("tt", "n", "at", "len", F.explode(places).alias("start")).select("tt", "n", "at", F.substring("tt", F.col("start"), F.col("len")).alias("piece"), "len").where(F.length("piece") == F.col("len")).distinct()
     cand = pieces.join(subs, ["n", "at", "len", "piece"]).select("q", "tt").distinct()
-    short = q.where(n < parts * PIECE).withColumn("m", F.explode(F.sequence(F.greatest(F.lit(1), n - limit), n + limit))).join(d.select("tt", F.length("tt").alias("m")), "m").select("q", "tt")
+    few = q.where(n < parts * PIECE)
+    if limit <= DELETIONS:
+        asked = few.select("q", F.explode(neighbourhood(F.col("q"), limit)).alias("key"))
+        told = d.where(F.length("tt") < parts * PIECE + limit).select("tt", F.explode(neighbourhood(F.col("tt"), limit)).alias("key"))
+        short = asked.join(told, "key").where(F.abs(n - F.length("tt")) <= limit).select("q", "tt").distinct()
+    else:
+        short = few.withColumn("m", F.explode(F.sequence(F.greatest(F.lit(1), n - limit), n + limit))).join(d.select("tt", F.length("tt").alias("m")), "m").select("q", "tt")
     near = cand.unionByName(short).withColumn("dist", F.levenshtein("q", "tt", limit)).where("dist >= 0")
     return near.join(d, "tt").select("q", "tt", "word", "idx", "dist")
 
 
+def nearest(queries: DataFrame, dic: DataFrame, limit: int, word_col: str = "query") -> DataFrame:
+    """(q, words): the words at the least distance up to ``limit``, in dictionary order, for queries that have any.
+
+    By rising distance: only queries without a word at one distance are asked for the next. What a round finds and what it
+    leaves go to the shared folder.
+    """
+    rest = cut(queries.select(query_token_text(F.col(word_col)).alias("q")).distinct().where("q <> ''"))
+    found = None
+    for k in range(limit + 1):
+        near = cut(within_distance_all(rest, dic, k, None).groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]).alias("words")))
+        found = near if found is None else found.unionByName(near)
+        rest = cut(rest.join(near, "q", "left_anti"))
+        if rest.isEmpty():
+            break
+    return found
+
+
 def within_distance_grouped(queries: DataFrame, dic: DataFrame, limit: int, word_col: str = "query") -> DataFrame:
     """(query, dist, words): for each query and distance up to ``limit`` the words at it, in dictionary order."""
     near = within_distance_all(queries, dic, limit, word_col).groupBy("q", "dist").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]).alias("words"))
@@ -173,9 +221,7 @@ def spell_check(texts: DataFrame, dic: DataFrame, limit: int, id_cols: tuple[str
     w = texts.select(*id_cols, F.inline(input_words(F.col(text_col)))).withColumn("tt", query_token_text(F.col("word")))
     checked = w.join(dic.select("tt", F.lit(True).alias("hit")), "tt", "left").withColumn("recognised", F.coalesce("hit", F.lit(False))).drop("hit")
     misses = checked.where("not recognised").select(F.col("word").alias("query")).distinct()
-    near = within_distance_all(misses, dic, limit)
-    first = near.groupBy("q").agg(F.min("dist").alias("dist"))
-    best = near.join(first, ["q", "dist"]).groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]).alias("near"))
+    best = nearest(misses, dic, limit).withColumnRenamed("words", "near")
     none = F.array().cast("array<string>")
     out = checked.join(best.withColumnRenamed("q", "tt"), "tt", "left")
     return out.select(*id_cols, "word", "start", "end", (F.col("end") - F.col("start")).alias("length"), "recognised", F.when(F.col("recognised"), none).otherwise(F.coalesce("near", none)).alias("corrections"))

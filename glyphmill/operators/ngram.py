@@ -13,9 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.operators.vocabulary import Vocabulary, tokenize_inference
+from glyphmill.sources.storage import cut
 
 Previous = dict[int, Column]
-ZERO = F.lit
 
 
 def pack4(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -128,34 +128,29 @@ def predict(contexts: DataFrame, mod: DataFrame, strategy: str = "xor", ctx_col:
 MOST_CONTEXTS = 100_000
 
 
-def predict_backoff(contexts: DataFrame, mod: DataFrame, key_cols: tuple[str, ...], strategy: str = "xor", ctx_col: str = "context") -> DataFrame:
-    """Contexts with the ``predictions`` of the longest history that the model has, and its ``level`` (0: all eight tokens)."""
+def predict_backoff(contexts: DataFrame, mod: DataFrame, key_cols: tuple[str, ...], strategy: str = "xor", ctx_col: str = "context", few: bool = False) -> DataFrame:
+    """Contexts with the ``predictions`` of the longest history that the model has, and its ``level`` (0: all eight tokens).
+
+    With ``few``, for at most ``MOST_CONTEXTS`` counted contexts, these are broadcast to the model, which isn't shuffled.
+    """
     keys = F.array(*(F.struct(F.lit(n).alias("level"), STRATEGIES[strategy][0](_backed_off(F.col(ctx_col), n)).alias("ctx")) for n in range(8)))
     asked = contexts.select(*key_cols, F.inline(keys))
+    asked = F.broadcast(asked) if few else asked
     hits = asked.join(mod, "ctx").groupBy(*key_cols).agg(F.min(F.struct("level", "first", "second")).alias("b"))
     both = F.when(F.col("b").isNull(), F.array().cast("array<int>")).when(F.col("b.second").isNull() | (F.col("b.second") == F.col("b.first")), F.array("b.first")).otherwise(F.array("b.first", "b.second"))
     return contexts.join(hits, list(key_cols), "left").select(*contexts.columns, F.col("b.level").alias("level"), both.alias("predictions"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage: to the shared checkpoint folder where the session has one, else to memory."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="glyphmill-"))
-    return df.checkpoint()
-
-
 def generate(prompts: DataFrame, mod: DataFrame, vocab: Vocabulary, steps: int, key_cols: tuple[str, ...], strategy: str = "xor", text_col: str = "text") -> DataFrame:
     """(keys, generated): up to ``steps`` greedy tokens after each prompt, all prompts a step at a time."""
     if steps < 0:
         raise ValueError("the number of tokens can't be negative")
     state = tokenize_inference(prompts, vocab, key_cols, text_col).select(*key_cols, context_of(F.col("tokens")).alias("context"), F.lit("").alias("generated"), F.lit(True).alias("on"))
-    state, own = _cut(state), not mod.is_cached
+    state, own = cut(state), not mod.is_cached
     mod = mod.persist()
+    few = state.count() <= MOST_CONTEXTS
     for _ in range(steps):
-        nxt = predict_backoff(state.where("on"), mod, key_cols, strategy).withColumn("tok", F.get("predictions", F.lit(0)))
+        nxt = predict_backoff(state.where("on"), mod, key_cols, strategy, few=few).withColumn("tok", F.get("predictions", F.lit(0)))
         word = vocab.text_of(F.col("tok"))
         moved = nxt.select(
             *key_cols,
@@ -163,7 +158,7 @@ def generate(prompts: DataFrame, mod: DataFrame, vocab: Vocabulary, steps: int,
             F.concat("generated", F.coalesce(word, F.lit(""))).alias("generated"),
             word.isNotNull().alias("on"),
         )
-        state = _cut(moved.unionByName(state.where("not on")))
+        state = cut(moved.unionByName(state.where("not on")))
     if own:
         mod.unpersist()
     return state.select(*key_cols, "generated")
@@ -178,11 +173,11 @@ def predict_branches(prompts: DataFrame, mod: DataFrame, vocab: Vocabulary, max_
     if max_branches < 1 or max_chars < 1:
         raise ValueError("branches and characters must be at least 1")
     keys = list(key_cols)
-    live = _cut(tokenize_inference(prompts, vocab, key_cols, text_col).select(*keys, F.lit(0).cast("bigint").alias("ord"), context_of(F.col("tokens")).alias("context"), F.lit("").alias("text"), F.lit(0).cast("bigint").alias("before")))
+    live = cut(tokenize_inference(prompts, vocab, key_cols, text_col).select(*keys, F.lit(0).cast("bigint").alias("ord"), context_of(F.col("tokens")).alias("context"), F.lit("").alias("text"), F.lit(0).cast("bigint").alias("before")))
     done, own = None, not mod.is_cached
     mod = mod.persist()
     for _ in range(max_chars + 1):  # each token has a character at least
-        found = predict_backoff(live, mod, (*key_cols, "ord"), strategy)
+        found = predict_backoff(live, mod, (*key_cols, "ord"), strategy, few=live.count() <= MOST_CONTEXTS)
         child = F.posexplode_outer(F.when(F.size("predictions") > 0, F.col("predictions")))
         grown = found.select(*keys, "ord", "context", "text", "before", F.size("predictions").alias("n_children"), child.alias("child", "tok"))
         grown = grown.withColumn("word", vocab.text_of(F.col("tok"))).where(F.col("tok").isNull() | F.col("word").isNotNull())
@@ -193,12 +188,12 @@ def predict_branches(prompts: DataFrame, mod: DataFrame, vocab: Vocabulary, max_
         ev = ev.withColumn("total", F.col("before") + F.sum(F.col("ends").cast("bigint")).over(order)).withColumn("place", F.row_number().over(order).cast("bigint"))
         stops = F.col("tok").isNotNull() & (F.col("total") >= max_branches) & (F.col("ends") | (F.col("child") == F.col("n_children") - 1))
         ev = ev.withColumn("stop", F.min(F.when(stops, F.col("place"))).over(W.partitionBy(*keys)))
-        ev = _cut(ev.where(F.col("stop").isNull() | (F.col("place") <= F.col("stop"))))
+        ev = cut(ev.where(F.col("stop").isNull() | (F.col("place") <= F.col("stop"))))
         new = ev.where("ends").select(*keys, (F.col("total") - 1).alias("n"), F.col("new_text").alias("branch"))
         done = new if done is None else done.unionByName(new)
         last = ev.groupBy(*keys).agg(F.max("total").alias("after"), F.max(F.col("stop").isNotNull()).alias("over"))
         go = ev.where("not ends and tok is not null").join(last, keys).where(~F.col("over") & (F.col("after") < max_branches))
-        live = _cut(go.select(*keys, F.col("place").alias("ord"), F.concat(F.slice("context", 2, 7), F.array("tok")).alias("context"), F.col("new_text").alias("text"), F.col("after").alias("before")))
+        live = cut(go.select(*keys, F.col("place").alias("ord"), F.concat(F.slice("context", 2, 7), F.array("tok")).alias("context"), F.col("new_text").alias("text"), F.col("after").alias("before")))
         if live.isEmpty():
             break
     if own:

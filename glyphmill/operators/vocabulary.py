@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.functions import codec
+from glyphmill.sources.storage import cut
 
 LENGTHS = range(1, 10)
 #: Entries of the vocabulary: ids 1 to 48 are the characters, 49 the sentence end, the others selected n-grams up to 254.
@@ -68,7 +70,8 @@ def weight(cnt: Column, length: Column) -> Column:
 
 
 def top_grams(counts: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """The k most frequent n-grams of each length; the smaller packed value wins a tie. Partial limits run before the shuffle."""
+    """The k most frequent n-grams of each length; the smaller packed value wins a tie. For small k: limits run before the shuffle,
+    and the rest of a length meets in one task."""
     w = W.partitionBy(*by, "len").orderBy(F.desc("cnt"), "packed")
     return counts.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
@@ -107,47 +110,63 @@ def _presets() -> list[tuple[int, str]]:
     return [(t, codec.ALPHABET[t]) for t in range(1, CHARACTERS)] + [(CHARACTERS, codec.SENTENCE_END)]
 
 
-def candidates(counts: DataFrame) -> DataFrame:
-    """(gram, len, cnt, w) of n-grams that may be selected: two characters and more, the ``CAP`` most frequent a length."""
-    top = top_grams(counts.where("len >= 2"), CAP)
-    return top.select(codec.unpacked(F.col("packed")).alias("gram"), "len", "cnt", weight(F.col("cnt"), F.col("len")).alias("w"))
+def merge_counts(*parts: DataFrame) -> DataFrame:
+    """N-gram counts of several corpora as one."""
+    return reduce(DataFrame.unionByName, parts).groupBy("len", "packed").agg(F.sum("cnt").alias("cnt"))
 
 
-def select_entries(cand: DataFrame, pool: int = 4_096) -> DataFrame:
-    """(rk, gram) of the selected n-grams: by weight, leaving out those inside a longer one that ranks before them.
+def candidates(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, gram, len, cnt, w) of n-grams that may be selected: two characters and more."""
+    return counts.where("len >= 2").select(*by, codec.unpacked(F.col("packed")).alias("gram"), "len", "cnt", weight(F.col("cnt"), F.col("len")).alias("w"))
 
-    Only the ``pool`` best are looked at; the pool grows until enough are left or there are no more.
+
+def select_entries(cand: DataFrame, pool: int = 4_096, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, rk, gram) of the selected n-grams: by weight, leaving out those inside a longer one that ranks before them.
+
+    Only the ``pool`` best (of each value of ``by``) are looked at; the pool grows until enough are left or there are no
+    more. Among n-grams of one length the weight rises with the count, so a pool up to ``CAP`` lies within the most frequent
+    ``CAP`` of each length, and that cap needs no ranking of its own.
     """
-    need = SIZE - CHARACTERS
+    need, order = SIZE - CHARACTERS, (F.desc("w"), F.desc("cnt"), "len", "gram")
     while True:
-        best = cand.orderBy(F.desc("w"), F.desc("cnt"), "len", "gram").limit(pool)  # bounded: one task ranks ``pool`` rows
-        ranked = best.withColumn("rk", F.row_number().over(W.orderBy(F.desc("w"), F.desc("cnt"), "len", "gram"))).select("rk", "gram", "len")
-        rows = ranked.collect()
-        r = cand.sparkSession.createDataFrame(rows or [], "rk int, gram string, len int")
-        s = r.select(F.col("rk").alias("srk"), F.col("gram").alias("sgram"), F.col("len").alias("slen"))
-        kept = r.join(F.broadcast(s), (F.col("srk") < F.col("rk")) & (F.col("slen") > F.col("len")) & F.contains("sgram", "gram"), "left_anti").orderBy("rk").limit(need)
-        if len(rows) < pool or kept.count() >= need:
-            return kept.select("rk", "gram")
-        pool *= 4
+        if by:  # the rank is limited before the shuffle too
+            best = cand.withColumn("rk", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rk") <= pool)
+        else:
+            best = cand.orderBy(*order).limit(pool).withColumn("rk", F.row_number().over(W.orderBy(*order)))  # one task ranks ``pool`` rows
+        ranked = cut(best.select(*by, "rk", "gram", "len"))
+        s = ranked.select(*by, F.col("rk").alias("srk"), F.col("gram").alias("sgram"), F.col("len").alias("slen"))
+        inside = (F.col("srk") < F.col("rk")) & (F.col("slen") > F.col("len")) & F.contains("sgram", "gram")
+        if by:
+            s = s.select(*(F.col(c).alias(f"s_{c}") for c in by), "srk", "sgram", "slen")
+            kept = ranked.join(s, reduce(lambda a, b: a & b, (F.col(c) == F.col(f"s_{c}") for c in by)) & inside, "left_anti")
+        else:
+            kept = ranked.join(F.broadcast(s), inside, "left_anti")  # ``pool`` rows
+        place = F.row_number().over(W.partitionBy(*by).orderBy("rk"))
+        chosen = cut(kept.withColumn("place", place).where(F.col("place") <= need).select(*by, "rk", "gram"))
+        # Full pools that gave too few entries have to grow.
+        full = ranked.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= pool)
+        short = full.join(chosen.groupBy(*by).agg(F.count("*").alias("m")), list(by), "left") if by else full.crossJoin(chosen.agg(F.count("*").alias("m")))
+        if pool >= CAP or short.where(F.coalesce("m", F.lit(0)) < need).isEmpty():
+            return chosen
+        pool = min(CAP, pool * 4)
+
+
+def _of(chosen: list[str]) -> Vocabulary:
+    return Vocabulary(tuple(_presets() + [(CHARACTERS + 1 + i, g) for i, g in enumerate(chosen)]))
 
 
 def learn(docs: DataFrame, text_col: str = "text") -> Vocabulary:
-    chosen = [r["gram"] for r in select_entries(candidates(gram_counts(docs, range(2, 10), text_col))).orderBy("rk").collect()]
-    return Vocabulary(tuple(_presets() + [(CHARACTERS + 1 + i, g) for i, g in enumerate(chosen)]))
+    return _of([r["gram"] for r in select_entries(candidates(gram_counts(docs, range(2, 10), text_col))).orderBy("rk").collect()])
 
 
 def learn_by(docs: DataFrame, column: str, text_col: str = "text") -> dict[str, Vocabulary]:
-    """A vocabulary for each value of a column of few values; the n-grams of all are counted in one job."""
-    counts = gram_counts(docs, range(2, 10), text_col, (column,)).persist()
-    try:
-        values = [r[0] for r in docs.select(column).where(F.col(column).isNotNull()).distinct().limit(1_000).collect()]
-        out = {}
-        for v in sorted(values):
-            chosen = [r["gram"] for r in select_entries(candidates(counts.where(F.col(column) == v).drop(column))).orderBy("rk").collect()]
-            out[v] = Vocabulary(tuple(_presets() + [(CHARACTERS + 1 + i, g) for i, g in enumerate(chosen)]))
-        return out
-    finally:
-        counts.unpersist()
+    """A vocabulary for each value of a column; all are counted and selected in the same jobs."""
+    known = docs.where(F.col(column).isNotNull())
+    cand = cut(candidates(gram_counts(known, range(2, 10), text_col, (column,)), (column,)))
+    chosen: dict[str, list[str]] = {r[0]: [] for r in known.select(column).distinct().collect()}
+    for r in select_entries(cand, by=(column,)).orderBy(column, "rk").collect():  # 205 rows a value
+        chosen[r[0]].append(r["gram"])
+    return {v: _of(grams) for v, grams in sorted(chosen.items())}
 
 
 def tokenize_training(docs: DataFrame, vocab: Vocabulary, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

@@ -7,7 +7,6 @@ Spark's ``binaryFile`` source.
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterator
 
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import codec
+from glyphmill.sources.storage import cut, open_output
 
 #: The header's magic and the types of file.
 MAGIC, DICTIONARY, VOCABULARY, NGRAM = 0x564C4D31, 1, 2, 3
@@ -52,18 +52,27 @@ def unpack_word(data: bytes, tokens: int) -> str:
     return "".join(codec.ALPHABET[n >> 6 * (tokens - 1 - i) & 63] for i in range(tokens))
 
 
+def _int32(n: int, what: str) -> int:
+    if n >= 1 << 31:
+        raise ValueError(f"{what}: {n} doesn't fit the file's 32 bits")
+    return n
+
+
 def write_dictionary(dic: DataFrame, path: str) -> None:
-    """``path`` (lengths, then packed words, in token order) and ``path``.txt with a word a line."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    ordered = dic.select("idx", "tt", "word").orderBy("idx")
+    """``path`` (lengths, then packed words, in token order) and ``path``.txt with a word a line.
+
+    The words are sorted once, into the shared folder, and stream from there twice. More than 2**31 bytes are an error.
+    """
     count, size = dic.agg(F.count("*"), F.coalesce(F.sum(F.ceil(F.length("tt") * 6 / 8)), F.lit(0))).first()
-    with open(path, "wb") as f, open(path + ".txt", "w", encoding="utf-8") as text:
-        f.write(_header(DICTIONARY) + struct.pack(">ii", count, int(size)))
+    header = _header(DICTIONARY) + struct.pack(">ii", _int32(count, "words"), _int32(int(size), "bytes"))
+    ordered = cut(dic.select("idx", codec.validated(F.col("tt")).alias("tt"), "word").orderBy("idx"))
+    with open_output(path) as f, open_output(path + ".txt") as text:
+        f.write(header)
         for r in ordered.select(F.length("tt")).toLocalIterator():
             f.write(struct.pack(">i", r[0]))
         for r in ordered.toLocalIterator():
             f.write(pack_word(r["tt"]))
-            text.write(r["word"] + "\n")
+            text.write((r["word"] + "\n").encode())
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
@@ -95,14 +104,13 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 def write_vocabulary(entries: tuple[tuple[int, str], ...], path: str) -> None:
     """255 packed sequences (0 where there is none) and a companion with a readable line for each."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     slots = [0] * SLOTS
     for token, seq in entries:
         slots[token] = codec.pack_value(seq)
     plain = str.maketrans(codec.DECODE_FROM, codec.DECODED)
-    with open(path, "wb") as f, open(path + ".txt", "w", encoding="utf-8") as text:
+    with open_output(path) as f, open_output(path + ".txt") as text:
         f.write(_header(VOCABULARY) + struct.pack(f">{SLOTS}q", *slots))
-        text.writelines(f'Vocab[{i}] = {v} // "{codec.pack_rows(v).translate(plain)}"\n' for i, v in enumerate(slots))
+        text.write("".join(f'Vocab[{i}] = {v} // "{codec.pack_rows(v).translate(plain)}"\n' for i, v in enumerate(slots)).encode())
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -122,9 +130,8 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 def write_ngrams(model: DataFrame, path: str) -> None:
     """Six bytes an entry, by key: signed key, then the second and the first token (255: none)."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     signed = F.when(F.col("ctx") >= 2**31, F.col("ctx") - 2**32).otherwise(F.col("ctx"))
-    with open(path, "wb") as f:
+    with open_output(path) as f:
         f.write(_header(NGRAM))
         for r in model.select(signed.alias("k"), "first", F.coalesce("second", F.lit(255)).alias("second")).orderBy("k").toLocalIterator():
             f.write(struct.pack(">iBB", r["k"], r["second"], r["first"]))
