@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from glyphmill.functions import codec, markup
 from glyphmill.operators import dictionary as dic
 from glyphmill.operators import ngram, vocabulary
+from glyphmill.plans import bundle
 from glyphmill.plans import oracles as o
+from glyphmill.sources import formats
+from glyphmill.sources.storage import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -23,7 +26,7 @@ _ORACLES: dict[str, str] = {}
 _VOCABULARIES: dict[tuple, vocabulary.Vocabulary] = {}
 _MODELS: dict[tuple, DataFrame] = {}
 
-#: Prompts that the example programs of this kind of engine use.
+#: Prompts that the example programs of this kind of engine use.
 EXAMPLE_TEXT = "I would like to walkX my dog!"
 EXAMPLE_PROMPT = "i am the first one that "
 
@@ -54,10 +57,18 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _corpus(spark: SparkSession, sf_dir: str) -> tuple:
+    """Session, folder and state of its documents' files."""
+    files = _docs(spark, sf_dir).select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string")).distinct()
+    return (spark.sparkContext.applicationId, sf_dir, *sorted(map(tuple, files.collect())))
+
+
 def _kept(kind: str, spark: SparkSession, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A trained model, persisted for the session: queries ask a model, they don't train it again."""
-    k = (kind, spark.sparkContext.applicationId, sf_dir)
+    """A trained model, persisted for the session: queries ask a model, they don't train it again unless the corpus changed."""
+    k = (kind, *_corpus(spark, sf_dir))
     if k not in _MODELS:
+        for old in [o for o in _MODELS if o[0] == kind and o[1:3] == k[1:3]]:
+            _MODELS.pop(old).unpersist()
         _MODELS[k] = make().persist(StorageLevel.MEMORY_AND_DISK)
     return _MODELS[k]
 
@@ -67,7 +78,7 @@ def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vocab(spark: SparkSession, sf_dir: str) -> vocabulary.Vocabulary:
-    k = (spark.sparkContext.applicationId, sf_dir)
+    k = _corpus(spark, sf_dir)
     if k not in _VOCABULARIES:
         _VOCABULARIES[k] = vocabulary.learn(_docs(spark, sf_dir))
     return _VOCABULARIES[k]
@@ -109,6 +120,29 @@ def seven_bit_encode(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", codec.seven_bit(F.col("text")).alias("seven"))
 
 
+_SEVEN_SQL = f"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(text, '{o.WS}', ' ', 'g'), '[^ -~]', chr(127), 'g') AS s FROM documents)
+SELECT doc_id, replace(s, chr(127), '?') AS plain, length(s)::BIGINT AS n, (length(s) - length(replace(s, chr(127), '')))::BIGINT AS n_unknown,
+ list_sum(list_transform(string_split(s, ''), lambda c: CASE WHEN c = '' THEN 0 WHEN c = chr(127) THEN 127 ELSE ascii(c) - 31 END))::BIGINT AS total FROM s"""
+
+
+@query("seven_bit_decode", _SEVEN_SQL)
+def seven_bit_decode(spark, sf_dir):
+    t = _docs(spark, sf_dir).select("doc_id", codec.seven_bit_tokens(F.col("text")).alias("t"))
+    unknown = F.size(F.filter("t", codec.is_unknown)).cast("bigint")
+    total = F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return t.select("doc_id", codec.seven_bit_text(F.col("t")).alias("plain"), F.size("t").cast("bigint").alias("n"), unknown.alias("n_unknown"), total.alias("total"))
+
+
+@query("corpus_scan", "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(html, chr(10))) AS line FROM pages) WHERE line <> '' GROUP BY line")
+def corpus_scan(spark, sf_dir):
+    """All pages written as text files in nested folders, found again by the recursive scan with its check of the encoding."""
+    path = work_dir(spark, "corpus")
+    pages = table(spark, sf_dir, "pages").withColumn("part", F.col("page_id") % 10).withColumn("half", F.col("page_id") % 2)
+    pages.select("half", "part", "html").write.partitionBy("half", "part").text(path)
+    found = formats.read_corpus(spark, path).where(F.col("path").endswith(".txt"))
+    return found.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''").groupBy("line").agg(F.count("*").alias("n"))
+
+
 _MARKUP_SQL = """WITH t AS (SELECT page_id, 'dropped <doc id="' || page_id || '">' || html || '</doc> kept' AS t FROM pages),
 p AS (SELECT page_id, regexp_extract_all(regexp_replace(t, '<[^>]*$', ''), '<[^>]*>|[^<]+') AS p FROM t),
 f AS (SELECT page_id, p, list_position(list_transform(p, lambda x: starts_with(x, '<') AND starts_with(lower('<' || ltrim(substr(x, 2))), '<doc ')), true) AS st FROM p)
@@ -158,15 +192,37 @@ def word_dictionary(spark, sf_dir):
     return dic.dictionary(_docs(spark, sf_dir))
 
 
-@query("merge_counts", o.select(o.STREAMS, o.WORDS, f"SELECT tt, {o.decode('tt')} AS word, count(*)::BIGINT AS cnt FROM w WHERE lang IS NOT NULL GROUP BY tt HAVING {o.accepted('tt')}"))
+@query("merge_counts", o.select(o.STREAMS, o.WORDS, f"SELECT tt, {o.decode('tt')} AS word, count(*)::BIGINT AS cnt FROM w GROUP BY tt HAVING {o.accepted('tt')}"))
 def merge_counts(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    return dic.merge_counts(dic.word_counts(d.where("lang = 'en'")), dic.word_counts(d.where("lang <> 'en'")))
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    return dic.merge_counts(dic.word_counts(d.where(english)), dic.word_counts(d.where(~english)))
+
+
+_SWAPPED = "CASE idx % 1000 WHEN 0 THEN idx + 1 WHEN 1 THEN idx - 1 ELSE idx END"
 
 
-@query("dictionary_ordering", o.select(*_DICT, "SELECT idx, previous, tt FROM (SELECT idx, lag(tt) OVER (ORDER BY idx) AS previous, tt FROM d) WHERE previous >= tt"))
+@query("dictionary_ordering", o.select(*_DICT, f"SELECT idx, previous, tt FROM (SELECT idx, lag(tt) OVER (ORDER BY idx) AS previous, tt FROM (SELECT {_SWAPPED} AS idx, tt FROM d)) WHERE previous >= tt"))
 def dictionary_ordering(spark, sf_dir):
-    return dic.ordering_violations(_dictionary(spark, sf_dir))
+    """Violations in a dictionary in which every thousandth word has changed places with the next."""
+    return dic.ordering_violations(_dictionary(spark, sf_dir).withColumn("idx", F.expr(_SWAPPED)))
+
+
+@query("dictionary_file", o.select(*_DICT, "SELECT * FROM d"))
+def dictionary_file(spark, sf_dir):
+    """The dictionary written as a binary file and read back with all checks."""
+    path = work_dir(spark, "dictionary") + "/dictionary.bin"
+    formats.write_dictionary(_dictionary(spark, sf_dir), path)
+    return formats.read_dictionary(spark, path)
+
+
+@query("dictionary_text_file", o.select(*_DICT, "SELECT idx + 1 AS line, word FROM d"))
+def dictionary_text_file(spark, sf_dir):
+    """Lines of the dictionary's text companion, in order."""
+    path = work_dir(spark, "dictionary") + "/dictionary.bin"
+    formats.write_dictionary(_dictionary(spark, sf_dir), path)
+    whole = spark.read.text(path + ".txt", wholetext=True)
+    return whole.select(F.posexplode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n")).alias("k", "word")).select((F.col("k") + 1).cast("bigint").alias("line"), "word")
 
 
 @query("word_at", o.select(*_DICT, "SELECT DISTINCT item_id * 7 AS idx, word FROM benchmark JOIN d ON d.idx = item_id * 7"))
@@ -208,53 +264,67 @@ def within_distance(spark, sf_dir):
     return dic.within_distance(_asked(spark, sf_dir, "benchmark"), _dictionary(spark, sf_dir), 3)
 
 
-_EXAMPLE = f"q AS (SELECT DISTINCT query, {o.encode_all('query')} AS q FROM (SELECT unnest(regexp_extract_all('{EXAMPLE_TEXT}', '[\\p{{L}}''-]+')) AS query))"
-_NEAR = "nr AS (SELECT query, d.word, d.idx, levenshtein(q, d.tt)::INT AS dist FROM q JOIN d ON abs(length(q) - d.length) <= {k} WHERE levenshtein(q, d.tt) <= {k})"
+_MISSES = "q0 AS MATERIALIZED (SELECT query, q FROM q WHERE q NOT IN (SELECT tt FROM d))"
+_WORD = "[\\p{L}''-]+"
+_EXAMPLE = f"t AS (SELECT 1::BIGINT AS item_id, '{EXAMPLE_TEXT}' AS text)"
+
+
+def _near_sql(k: int, asked: str) -> str:
+    return f"nr AS MATERIALIZED (SELECT * FROM (SELECT query, d.word, d.idx, levenshtein(q, d.tt)::INT AS dist FROM {asked} JOIN d ON d.length BETWEEN length(q) - {k} AND length(q) + {k}) WHERE dist <= {k})"
+
+
+def _grouped_sql(source: str) -> str:
+    return o.select(*_DICT, *([_EXAMPLE] if source == "t" else []), o.raw_words(source), _near_sql(3, "q"), "SELECT query, dist, array_to_string(list(word ORDER BY idx), ' ') AS words FROM nr GROUP BY query, dist")
+
 
+def _grouped(spark, sf_dir, asked):
+    return dic.within_distance_grouped(asked, _dictionary(spark, sf_dir), 3).select("query", "dist", F.array_join("words", " ").alias("words"))
 
-@query("within_distance_grouped", o.select(*_DICT, _EXAMPLE, _NEAR.format(k=3), "SELECT query, dist, array_to_string(list(word ORDER BY idx), ' ') AS words FROM nr GROUP BY query, dist"))
+
+@query("within_distance_grouped", _grouped_sql("t"))
 def within_distance_grouped(spark, sf_dir):
-    q = spark.createDataFrame([(EXAMPLE_TEXT,)], "text string").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}'-]+"), 0)).alias("query")).distinct()
-    return dic.within_distance_grouped(q, _dictionary(spark, sf_dir), 3).select("query", "dist", F.array_join("words", " ").alias("words"))
+    t = spark.createDataFrame([(EXAMPLE_TEXT,)], "text string")
+    return _grouped(spark, sf_dir, t.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}'-]+"), 0)).alias("query")).distinct())
 
 
-# Over whole tables the SQL compares all pairs, too slow: no oracle, a test holds both against brute force.
-@query("within_distance_grouped_benchmark")
+@query("within_distance_grouped_benchmark", _grouped_sql("benchmark"))
 def within_distance_grouped_benchmark(spark, sf_dir):
-    near = dic.within_distance_grouped(_asked(spark, sf_dir, "benchmark"), _dictionary(spark, sf_dir), 3)
-    return near.select("query", "dist", F.array_join("words", " ").alias("words"))
+    return _grouped(spark, sf_dir, _asked(spark, sf_dir, "benchmark"))
 
 
-_WORD = "[\\p{L}''-]+"
+def _spell_sql(source: str) -> str:
+    words = f"tw AS (SELECT item_id, unnest(regexp_extract_all(text, '{_WORD}')) AS word, generate_subscripts(regexp_extract_all(text, '{_WORD}'), 1) AS k, string_split_regex(text, '{_WORD}') AS gaps FROM {source})"
+    before = "sum(length(word)) OVER (PARTITION BY item_id ORDER BY k) - length(word) + length(array_to_string(gaps[1:k], ''))"
+    places = f'ps AS MATERIALIZED (SELECT item_id, word, ({before})::INT AS "start" FROM tw)'
+    nearest = "nst AS MATERIALIZED (SELECT query, array_to_string(list(word ORDER BY idx), ' ') AS words FROM (SELECT * FROM nr QUALIFY rank() OVER (PARTITION BY query ORDER BY dist) = 1) GROUP BY query)"
+    out = f'SELECT item_id, ps.word, "start", ("start" + length(ps.word))::INT AS "end", length(ps.word)::INT AS length, q0.query IS NULL AS recognised, coalesce(nst.words, \'\') AS corrections'
+    return o.select(*_DICT, *([_EXAMPLE] if source == "t" else []), o.raw_words(source), _MISSES, _near_sql(5, "q0"), nearest, words, places, f"{out} FROM ps LEFT JOIN q0 ON q0.query = ps.word LEFT JOIN nst ON nst.query = ps.word")
 
 
-def _spell_sql() -> str:
-    text = f"t AS (SELECT 1::BIGINT AS text_id, '{EXAMPLE_TEXT}' AS text)"
-    words = f"tw AS (SELECT text_id, unnest(regexp_extract_all(text, '{_WORD}')) AS word, generate_subscripts(regexp_extract_all(text, '{_WORD}'), 1) AS k, text FROM t)"
-    before = f"sum(length(word)) OVER (ORDER BY k) - length(word) + length(array_to_string(string_split_regex(text, '{_WORD}')[1:k], ''))"
-    places = f'ps AS (SELECT text_id, word, ({before})::INT AS "start" FROM tw)'
-    asked = f"q AS (SELECT DISTINCT word AS query, {o.encode_all('word')} AS q FROM ps)"
-    ranked = "SELECT *, rank() OVER (PARTITION BY query ORDER BY dist) AS rk FROM nr"
-    nearest = f"nst AS (SELECT query, array_to_string(list(word ORDER BY idx), ' ') AS words FROM ({ranked}) WHERE rk = 1 GROUP BY query)"
-    fix = "CASE WHEN d.tt IS NULL THEN coalesce(words, '') ELSE '' END AS corrections"
-    out = f'SELECT text_id, ps.word, "start", ("start" + length(ps.word))::INT AS "end", length(ps.word)::INT AS length, d.tt IS NOT NULL AS recognised, {fix}'
-    joins = f"FROM ps LEFT JOIN d ON d.tt = {o.encode_all('ps.word')} LEFT JOIN nst ON nst.query = ps.word"
-    return o.select(*_DICT, text, words, places, asked, _NEAR.format(k=5), nearest, f"{out} {joins}")
+def _spelled(spark, sf_dir, texts, ids=("item_id",)):
+    return dic.spell_check(texts, _dictionary(spark, sf_dir), 5, ids).withColumn("corrections", F.array_join("corrections", " "))
 
 
-@query("spell_check", _spell_sql())
+@query("spell_check", _spell_sql("t"))
 def spell_check(spark, sf_dir):
-    t = spark.createDataFrame([(1, EXAMPLE_TEXT)], "text_id bigint, text string")
-    return dic.spell_check(t, _dictionary(spark, sf_dir), 5, ("text_id",)).withColumn("corrections", F.array_join("corrections", " "))
+    return _spelled(spark, sf_dir, spark.createDataFrame([(1, EXAMPLE_TEXT)], "item_id bigint, text string"))
 
 
-@query("spell_check_benchmark")
+@query("spell_check_benchmark", _spell_sql("benchmark"))
 def spell_check_benchmark(spark, sf_dir):
-    t = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return dic.spell_check(t, _dictionary(spark, sf_dir), 5, ("item_id",)).withColumn("corrections", F.array_join("corrections", " "))
+    return _spelled(spark, sf_dir, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
 
+_FIXED = (
+    "pos AS (SELECT item_id, unnest(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS query, generate_subscripts(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1) AS k FROM benchmark)",
+    f"q AS MATERIALIZED (SELECT DISTINCT query, {o.encode_all('query')} AS q FROM pos)",
+    _PAIRS,
+    "b AS MATERIALIZED (SELECT query, word FROM prs QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, idx) = 1)",
+    "fx AS MATERIALIZED (SELECT item_id, string_agg(coalesce(word, query), ' ' ORDER BY k) AS corrected FROM pos LEFT JOIN b USING (query) GROUP BY item_id)",
+)
 
-@query("correct_sentence", o.select(*_DICT, "pos AS (SELECT item_id, unnest(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS query, generate_subscripts(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1) AS k FROM benchmark)", f"q AS MATERIALIZED (SELECT DISTINCT query, {o.encode_all('query')} AS q FROM pos)", _PAIRS, "b AS (SELECT query, word FROM prs QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, idx) = 1)", "SELECT item_id, string_agg(coalesce(word, query), ' ' ORDER BY k) AS corrected FROM pos LEFT JOIN b USING (query) GROUP BY item_id"))
+
+@query("correct_sentence", o.select(*_DICT, *_FIXED, "SELECT * FROM fx"))
 def correct_sentence(spark, sf_dir):
     return dic.correct_sentence(table(spark, sf_dir, "benchmark"), _dictionary(spark, sf_dir), ("item_id",))
 
@@ -316,11 +386,28 @@ def vocabulary_entries(spark, sf_dir):
     return _vocab(spark, sf_dir).frame(spark).select("token", "seq", "text")
 
 
-@query("vocabulary_packed", o.select(*_VOC, f"SELECT token, list_reduce(list_transform(string_split(seq, ''), lambda c: (instr('{codec.ALPHABET}', c) - 1)::BIGINT), lambda a, b: a * 64 + b) AS packed FROM v"))
+@query("vocabulary_packed", o.select(*_VOC, f"SELECT token, list_reduce(list_transform(string_split(seq, ''), lambda c: (instr('{o.ALPHABET}', c) - 1)::BIGINT), lambda a, b: a * 64 + b) AS packed FROM v"))
 def vocabulary_packed(spark, sf_dir):
     return _vocab(spark, sf_dir).frame(spark).select("token", codec.packed(F.col("seq")).alias("packed"))
 
 
+@query("vocabulary_file", o.select(*_VOC, f"SELECT token, seq, list_reduce(list_transform(string_split(seq, ''), lambda c: (instr('{o.ALPHABET}', c) - 1)::BIGINT), lambda a, b: a * 64 + b) AS packed FROM v"))
+def vocabulary_file(spark, sf_dir):
+    """The vocabulary written as a binary file and read back."""
+    path = work_dir(spark, "vocabulary") + "/vocabulary.bin"
+    formats.write_vocabulary(_vocab(spark, sf_dir).entries, path)
+    return formats.read_vocabulary(spark, path)
+
+
+@query("merge_gram_counts", o.select(o.STREAMS, _GRAM(a=1, b=5), "SELECT len, gram, cnt FROM g"))
+def merge_gram_counts(spark, sf_dir):
+    """N-gram counts of two parts of the corpus, merged."""
+    d, n = _docs(spark, sf_dir), range(1, 5)
+    odd = F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False))
+    both = vocabulary.merge_counts(vocabulary.gram_counts(d.where(odd), n), vocabulary.gram_counts(d.where(~odd), n))
+    return both.select("len", codec.unpacked(F.col("packed")).alias("gram"), "cnt")
+
+
 def _by_lang_sql() -> str:
     parts = []
     for lang in ("de", "en", "es", "fr"):
@@ -396,7 +483,7 @@ def ngram_pruned(spark, sf_dir):
 
 
 _MOD = (*_HIST, o.counts("xor"), o.MODEL)
-_PROMPTS = o.prompts_fixed("benchmark", "item_id")
+_PROMPTS = o.prompts("benchmark", "item_id")
 
 
 def _prompt_contexts(spark, sf_dir):
@@ -424,31 +511,40 @@ def predict_backoff(spark, sf_dir):
     return p.select("item_id", "level", F.array_join(F.transform("predictions", lambda t: t.cast("string")), " ").alias("predictions"))
 
 
-GENERATED = 5
-
-
-def _generate_sql() -> str:
-    steps = []
-    for n in range(GENERATED):
-        src = "st0" if n == 0 else f"st{n}"
-        shifted = ", ".join(["coalesce(first, p1)::BIGINT AS p1"] + [f"CASE WHEN first IS NULL THEN p{k} ELSE p{k - 1} END AS p{k}" for k in range(2, 9)])
-        steps.append(f"bk{n} AS ({_BACKED.format(src=src + ' WHERE on_')})")
-        steps.append(f"ht{n} AS (SELECT item_id, first FROM bk{n} JOIN m USING (ctx) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY level) = 1)")
-        steps.append(f"st{n + 1} AS MATERIALIZED (SELECT item_id, {shifted}, txt || coalesce({o.decode('v.seq')}, '') AS txt, on_ AND first IS NOT NULL AS on_ FROM {src} LEFT JOIN ht{n} USING (item_id) LEFT JOIN v ON v.token = first)")
-    start = "st0 AS MATERIALIZED (SELECT *, '' AS txt, true AS on_ FROM pr)"
-    return o.select(*_MOD, _PROMPTS, start, *steps, f"SELECT item_id, txt AS generated FROM st{GENERATED}")
+#: Tokens that the example program generates, branches and characters that it asks for.
+GENERATED, BRANCHES, CHARACTERS = 75, 5, 10
 
 
-@query("generate", _generate_sql())
+@query("generate", o.select(*_MOD, _PROMPTS, o.generation(GENERATED), "SELECT item_id, arg_max(txt, step) AS generated FROM gen GROUP BY item_id", recursive=True))
 def generate(spark, sf_dir):
     return ngram.generate(table(spark, sf_dir, "benchmark"), _model(spark, sf_dir), _vocab(spark, sf_dir), GENERATED, ("item_id",))
 
 
-@query("predict_branches")
+@query("correct_and_generate", o.select(*_DICT, *_FIXED, o.vocabulary(), o.TOKENS, o.HISTORY, o.counts("xor"), o.MODEL, o.prompts("fx", "item_id", "corrected"), o.generation(GENERATED), "SELECT item_id, corrected, generated FROM fx JOIN (SELECT item_id, arg_max(txt, step) AS generated FROM gen GROUP BY item_id) USING (item_id)", recursive=True))
+def correct_and_generate(spark, sf_dir):
+    models = bundle.LanguageModels(_dictionary(spark, sf_dir), _vocab(spark, sf_dir), _model(spark, sf_dir))
+    return models.correct_and_generate(table(spark, sf_dir, "benchmark").select("item_id", "text"), GENERATED, ("item_id",))
+
+
+def _branches_sql() -> str:
+    asked = o.prompts(f"(SELECT item_id, text FROM benchmark UNION ALL SELECT -1, '{EXAMPLE_PROMPT}')", "item_id")
+    parts, last = o.branches(BRANCHES, CHARACTERS)
+    return o.select(*_MOD, asked, *parts, last)
+
+
+@query("predict_branches", _branches_sql())
 def predict_branches(spark, sf_dir):
     example = spark.createDataFrame([(-1, EXAMPLE_PROMPT)], "item_id bigint, text string")
     prompts = table(spark, sf_dir, "benchmark").select("item_id", "text").unionByName(example)
-    return ngram.predict_branches(prompts, _model(spark, sf_dir), _vocab(spark, sf_dir), 5, 10, ("item_id",))
+    return ngram.predict_branches(prompts, _model(spark, sf_dir), _vocab(spark, sf_dir), BRANCHES, CHARACTERS, ("item_id",))
+
+
+@query("ngram_file", o.select(*_MOD, _TOP2_SQL))
+def ngram_file(spark, sf_dir):
+    """The model written as a binary file and read back, as a digest of all contexts."""
+    path = work_dir(spark, "ngrams") + "/ngrams.bin"
+    formats.write_ngrams(_model(spark, sf_dir), path)
+    return _model_digest(formats.read_ngrams(spark, path))
 
 
 @query("model_sizes", o.select(*_DICT, o.vocabulary(), o.TOKENS, o.HISTORY, o.counts("xor"), "SELECT (SELECT count(*) FROM d) AS words, (SELECT count(*) FROM v) AS entries, (SELECT count(DISTINCT ctx) FROM c) AS contexts"))
@@ -460,10 +556,24 @@ def model_sizes(spark, sf_dir):
     return words.select(k, "words").join(entries.select(k, "entries"), "k").join(contexts.select(k, "contexts"), "k").drop("k")
 
 
-@query("model_identity", o.select(*_DICT, "SELECT count(*) AS words, count(DISTINCT tt) AS distinct_words, 0::BIGINT AS differences FROM d"))
+_IDENTITY_SQL = """SELECT 'words' AS model, count(*) AS entries, count(*) FILTER (idx % 100 = 0) AS differences FROM d
+UNION ALL SELECT 'vocabulary', count(*), count(*) FILTER (token % 100 = 0) FROM v
+UNION ALL SELECT 'contexts', count(*), count(*) FILTER (ctx % 100 = 0) FROM m"""
+
+
+@query("model_identity", o.select(*_DICT, o.vocabulary(), o.TOKENS, o.HISTORY, o.counts("xor"), o.MODEL, _IDENTITY_SQL))
 def model_identity(spark, sf_dir):
-    """The dictionary built twice, over the corpus and over its reshuffled rows, compared both ways."""
-    a, b = _dictionary(spark, sf_dir), dic.dictionary(_docs(spark, sf_dir).repartition(5))
-    gap = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("differences"))
-    k = F.lit(1).alias("k")
-    return a.agg(k, F.count("*").alias("words"), F.countDistinct("tt").alias("distinct_words")).join(gap.select(k, "differences"), "k").drop("k")
+    """Each model built again from reshuffled rows, without a hundredth of its entries, compared both ways."""
+    again = _docs(spark, sf_dir).repartition(5)
+    vocab = _vocab(spark, sf_dir)
+    pairs = {
+        "words": (_dictionary(spark, sf_dir), dic.dictionary(again), "idx"),
+        "vocabulary": (vocab.frame(spark), vocabulary.learn(again).frame(spark), "token"),
+        "contexts": (_model(spark, sf_dir), ngram.model(vocabulary.tokenize_training(again, vocab)), "ctx"),
+    }
+    rows = []
+    for name, (a, b, key) in pairs.items():
+        b = b.where(F.col(key) % 100 != 0)
+        gap = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("differences"))
+        rows.append(a.agg(F.lit(name).alias("model"), F.count("*").alias("entries")).crossJoin(gap))  # one row each
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
