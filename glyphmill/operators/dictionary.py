@@ -17,6 +17,8 @@ BREAK = f"[{codec.SEPARATOR}{codec.SENTENCE_END}\\{codec.NULL}]+"
 #: Tokens of the pieces by which edit-distance search finds candidates, at least; distance up to which shorter queries are
 #: found by deletion neighbourhoods (a word of eleven tokens has 232 of up to three).
 PIECE, DELETIONS = 3, 3
+#: Queries, at most, that are compared with all words of like length.
+FEW = 256
 
 
 def accepted(word: Column) -> Column:
@@ -163,9 +165,13 @@ def within_distance_all(queries: DataFrame, dic: DataFrame, limit: int, word_col
     queries meet the words of like length; ``nearest`` asks that of the few queries only that have no nearer word.
     """
     q = (queries.select(query_token_text(F.col(word_col)).alias("q")) if word_col else queries.select("q")).distinct().where("q <> ''")
+    q = cut(q)
     d = dic.select("tt", "word", "idx")
     parts = limit + 1
     n = F.length("q")
+    if q.count() <= FEW:
+        near = d.join(F.broadcast(q), F.abs(n - F.length("tt")) <= limit).withColumn("dist", F.levenshtein("q", "tt", limit))
+        return near.where("dist >= 0").select("q", "tt", "word", "idx", "dist")
     cut_at = lambda k: F.floor(n * k / parts).cast("int")
     pieces = q.where(n >= parts * PIECE).select("q", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), n.alias("n"), (cut_at(k) + 1).alias("at"), (cut_at(k + 1) - cut_at(k)).alias("len"), F.substring("q", cut_at(k) + 1, cut_at(k + 1) - cut_at(k)).alias("piece")) for k in range(parts)))).alias("p")).select("q", "p.*")
     shapes = pieces.select("n", "at", "len").distinct()  # a few for each length of a query
@@ -192,6 +198,9 @@ def nearest(queries: DataFrame, dic: DataFrame, limit: int, word_col: str = "que
     leaves go to the shared folder.
     """
     rest = cut(queries.select(query_token_text(F.col(word_col)).alias("q")).distinct().where("q <> ''"))
+    if rest.count() <= FEW:
+        by_dist = within_distance_all(rest, dic, limit, None).groupBy("q", "dist").agg(F.array_sort(F.collect_list(F.struct("idx", "word"))).alias("w"))
+        return by_dist.groupBy("q").agg(F.min_by("w", "dist").alias("w")).select("q", F.transform("w", lambda x: x["word"]).alias("words"))
     found = None
     for k in range(limit + 1):
         near = cut(within_distance_all(rest, dic, k, None).groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]).alias("words")))

@@ -128,12 +128,18 @@ def predict(contexts: DataFrame, mod: DataFrame, strategy: str = "xor", ctx_col:
 MOST_CONTEXTS = 100_000
 
 
-def predict_backoff(contexts: DataFrame, mod: DataFrame, key_cols: tuple[str, ...], strategy: str = "xor", ctx_col: str = "context", few: bool = False) -> DataFrame:
+def backoff_keys(strategy: str = "xor", ctx_col: str = "context") -> Column:
+    """(level, ctx) for all eight levels of a context."""
+    return F.array(*(F.struct(F.lit(n).alias("level"), STRATEGIES[strategy][0](_backed_off(F.col(ctx_col), n)).alias("ctx")) for n in range(8)))
+
+
+def predict_backoff(contexts: DataFrame, mod: DataFrame, key_cols: tuple[str, ...], strategy: str = "xor", ctx_col: str = "context", few: bool = False, keys: Column | None = None) -> DataFrame:
     """Contexts with the ``predictions`` of the longest history that the model has, and its ``level`` (0: all eight tokens).
 
     With ``few``, for at most ``MOST_CONTEXTS`` counted contexts, these are broadcast to the model, which isn't shuffled.
+    ``keys`` may be given by callers that ask again and again (see ``backoff_keys``).
     """
-    keys = F.array(*(F.struct(F.lit(n).alias("level"), STRATEGIES[strategy][0](_backed_off(F.col(ctx_col), n)).alias("ctx")) for n in range(8)))
+    keys = backoff_keys(strategy, ctx_col) if keys is None else keys
     asked = contexts.select(*key_cols, F.inline(keys))
     asked = F.broadcast(asked) if few else asked
     hits = asked.join(mod, "ctx").groupBy(*key_cols).agg(F.min(F.struct("level", "first", "second")).alias("b"))
@@ -148,10 +154,9 @@ def generate(prompts: DataFrame, mod: DataFrame, vocab: Vocabulary, steps: int,
     state = tokenize_inference(prompts, vocab, key_cols, text_col).select(*key_cols, context_of(F.col("tokens")).alias("context"), F.lit("").alias("generated"), F.lit(True).alias("on"))
     state, own = cut(state), not mod.is_cached
     mod = mod.persist()
-    few = state.count() <= MOST_CONTEXTS
+    few, keys, word = state.count() <= MOST_CONTEXTS, backoff_keys(strategy), vocab.text_of(F.col("tok"))
     for _ in range(steps):
-        nxt = predict_backoff(state.where("on"), mod, key_cols, strategy, few=few).withColumn("tok", F.get("predictions", F.lit(0)))
-        word = vocab.text_of(F.col("tok"))
+        nxt = predict_backoff(state.where("on"), mod, key_cols, strategy, few=few, keys=keys).withColumn("tok", F.get("predictions", F.lit(0)))
         moved = nxt.select(
             *key_cols,
             F.when(word.isNull(), F.col("context")).otherwise(F.concat(F.slice("context", 2, 7), F.array("tok"))).alias("context"),
@@ -176,11 +181,12 @@ def predict_branches(prompts: DataFrame, mod: DataFrame, vocab: Vocabulary, max_
     live = cut(tokenize_inference(prompts, vocab, key_cols, text_col).select(*keys, F.lit(0).cast("bigint").alias("ord"), context_of(F.col("tokens")).alias("context"), F.lit("").alias("text"), F.lit(0).cast("bigint").alias("before")))
     done, own = None, not mod.is_cached
     mod = mod.persist()
+    keyed, word = backoff_keys(strategy), vocab.text_of(F.col("tok"))
     for _ in range(max_chars + 1):  # each token has a character at least
-        found = predict_backoff(live, mod, (*key_cols, "ord"), strategy, few=live.count() <= MOST_CONTEXTS)
+        found = predict_backoff(live, mod, (*key_cols, "ord"), strategy, few=live.count() <= MOST_CONTEXTS, keys=keyed)
         child = F.posexplode_outer(F.when(F.size("predictions") > 0, F.col("predictions")))
         grown = found.select(*keys, "ord", "context", "text", "before", F.size("predictions").alias("n_children"), child.alias("child", "tok"))
-        grown = grown.withColumn("word", vocab.text_of(F.col("tok"))).where(F.col("tok").isNull() | F.col("word").isNotNull())
+        grown = grown.withColumn("word", word).where(F.col("tok").isNull() | F.col("word").isNotNull())
         text = F.concat("text", F.coalesce("word", F.lit("")))
         ends = F.when(F.col("tok").isNull(), F.col("text") != "").otherwise(F.length(text) >= max_chars)
         order = W.partitionBy(*keys).orderBy("ord", F.coalesce("child", F.lit(0)))

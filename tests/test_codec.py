@@ -56,3 +56,25 @@ def test_links(spark):
     assert one(spark, '<a href="20240101/"><a href="20250101/">', markup.dump_dates) == ["20240101", "20250101"]
     assert one(spark, '<a href="/x/y-pages-articles-multistream.xml.bz2">', markup.article_dump) == "y-pages-articles-multistream.xml.bz2"
     assert one(spark, "none", markup.article_dump) is None
+
+
+def test_seven_bit_tokens(spark):
+    d = spark.createDataFrame([("a\tZ~é ",), ("",)], "text string").select(codec.seven_bit_tokens(F.col("text")).alias("t"))
+    got = d.select("t", codec.seven_bit_text(F.col("t")).alias("s")).collect()
+    assert [(r["t"], r["s"]) for r in got] == [([66, 1, 59, 95, 127, 1], "a Z~? "), ([], "")]
+    for bad in (0, 96):
+        with pytest.raises(Exception, match="not a token"):
+            spark.range(1).select(codec.seven_bit_text(F.array(F.lit(bad)))).collect()
+    with pytest.raises(Exception, match="not a word"):
+        spark.range(1).select(codec.validated(F.lit("0Q1"))).collect()
+
+
+def test_strict_utf8(spark, tmp_path):
+    from glyphmill.sources import formats
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "x.txt").write_bytes("é\U0001f600".encode())
+    assert [r["text"] for r in formats.read_corpus(spark, str(tmp_path)).collect()] == ["é\U0001f600"]
+    (tmp_path / "a" / "y.txt").write_bytes(b"\xff\xfe")
+    with pytest.raises(Exception, match="not UTF-8"):
+        formats.read_corpus(spark, str(tmp_path)).collect()

@@ -49,9 +49,10 @@ def test_distances(spark):
     assert dic.closest(q, dic.dictionary(docs(spark, "car cap"))).first()["closest"] == "cap"
 
 
-@pytest.mark.parametrize("piece", [1, 3])
-def test_pigeonhole_equals_all_pairs(spark, monkeypatch, piece):
+@pytest.mark.parametrize("piece, few", [(1, 0), (3, 0), (3, 99)])
+def test_pigeonhole_equals_all_pairs(spark, monkeypatch, piece, few):
     monkeypatch.setattr(dic, "PIECE", piece)
+    monkeypatch.setattr(dic, "FEW", few)
     rng = random.Random(3)
     make = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
     d = dic.dictionary(docs(spark, " ".join(make() for _ in range(150))))
@@ -62,6 +63,18 @@ def test_pigeonhole_equals_all_pairs(spark, monkeypatch, piece):
         assert got == {tuple(r) for r in want.select("q", "tt", "dist").collect()}
 
 
+def test_closest_equals_all_distances(spark, monkeypatch):
+    monkeypatch.setattr(dic, "FEW", 0)
+    rng = random.Random(4)
+    make = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 12)))
+    d = dic.dictionary(docs(spark, " ".join(make() for _ in range(80))))
+    q = spark.createDataFrame([(w,) for w in {make() for _ in range(40)}], "query string")
+    words = [(r["word"], r["idx"]) for r in d.collect()]
+    for r in dic.closest(q, d).collect():
+        own = [(slow_distance(r["query"], w), i, w) for w, i in words if len(r["query"]) < 2 or w[:2] == r["query"][:2]]
+        assert (r["dist"], r["closest"]) == ((min(own)[0], min(own)[2]) if own else (None, None))
+
+
 def test_spell_check(spark):
     d = dic.dictionary(docs(spark, "don't stop"))
     t = spark.createDataFrame([(1, "don't stop")], "id bigint, text string")
@@ -80,7 +93,9 @@ def slow_distance(a, b):
     return row[-1]
 
 
-def test_whole_tables_are_spell_checked(spark, tmp_path):
+@pytest.mark.parametrize("few", [0, 256])
+def test_whole_tables_are_spell_checked(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(dic, "FEW", few)
     rng = random.Random(15)
     make = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(2, 24)))
     docs(spark, " ".join(make() for _ in range(60)), None).write.parquet(str(tmp_path / "documents.parquet"))
