@@ -136,8 +136,8 @@ def test_levels_follow_from_one_key(strategy):
     when = [np.arange(3_000) << 31]
     deep = ngram._KERNELS[strategy][1](p) << 8 | tok
     parts = list(ngram._spread(strategy)(kernel.merged([deep, np.ones(3_000, np.int64), *when])))
-    assert all((np.diff(x[0]) > 0).all() for x in parts)
-    got = kernel._joined(parts)
+    assert all((np.diff(x[0]) > 0).all() for x, _ in parts) and [more for _, more in parts][:2] == [True, False]
+    got = kernel._joined([*(x for x, _ in parts), ngram._second(strategy)(parts[0][0])])
     kept = {"linear": [(range(1, n + 1), 1) for n in (4, 3, 2, 1)], "skipping": [((7, 4, 2, 1), 1), ((4, 2, 1), 1), ((2, 1), 1), ((1,), 1)], "xor": [((1,), 1), ((1, 2), 1), ((1, 2, 3), 1), ((1, 2, 3, 4), 3), (range(1, 9), 1)]}
     levels = [(ngram._KERNELS[strategy][0]({k: v if k in own else v * 0 for k, v in p.items()}), w) for own, w in kept[strategy]]
     want = kernel.merged([np.concatenate([ctx << 8 | tok for ctx, _ in levels]), np.concatenate([np.full(3_000, w) for _, w in levels]), np.concatenate([when[0]] * len(levels))])
